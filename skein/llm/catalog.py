@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, secrets, topk
+from skein.llm import decontam, mixing, neardup, quality, secrets, topk
 
 _ALL = {
     "op2_mix": mixing,
     "op5_topk": topk,
     "op7_secrets": secrets,
+    "op8_quality": quality,
+    "op9_neardup": neardup,
+    "op10_decontam": decontam,
 }
 
 
