@@ -2,7 +2,7 @@
 
 Learned filters run over the bytes of the whole document.  Their responses are
 max-pooled over overlapping chunks (512 positions, 256 apart); each chunk gives
-a logit, and the mean of a document's chunk logits its one probability.
+a logit, which also knows how full the chunk is, and the mean of a document's chunk logits its one probability.
 
 It is fitted on a bounded sample of labelled rows: the ``rows`` (documented
 parameter) labelled documents of the smallest hash of the id among those not
@@ -38,17 +38,19 @@ class Model:
     shift: np.ndarray
     weight: np.ndarray
     bias: float
+    fuller: np.ndarray  # added to weight and bias in proportion to how full a chunk is
     constant: float | None = None
 
 
-def _logits(m: Model, pooled: np.ndarray) -> np.ndarray:
-    return np.tanh(pooled + m.shift) @ m.weight + m.bias
+def _logits(m: Model, pooled: np.ndarray, fill: np.ndarray) -> np.ndarray:
+    h = np.tanh(pooled + m.shift)
+    return h @ m.weight + m.bias + fill * (h @ m.fuller[:-1] + m.fuller[-1])
 
 
-def fit(chunks: list[np.ndarray], y: np.ndarray, steps: int = 700, batch: int = 32, seed: int = 7) -> Model:
+def fit(chunks: list[np.ndarray], fills: list[np.ndarray], y: np.ndarray, steps: int = 900, batch: int = 32, seed: int = 7) -> Model:
     """chunks: for each document its chunks, n x SPAN bytes (short ones padded with zeros); y: 0 or 1."""
     if len(y) == 0 or y.min() == y.max():
-        return Model(*(np.zeros(0),) * 3, 0.0, float(y.mean()) if len(y) else 1.0)
+        return Model(*(np.zeros(0),) * 3, 0.0, np.zeros(1), float(y.mean()) if len(y) else 1.0)
     rng = np.random.default_rng(seed)
     p = {
         "e": rng.normal(0, 0.5, (256, DIMS)),
@@ -56,18 +58,21 @@ def fit(chunks: list[np.ndarray], y: np.ndarray, steps: int = 700, batch: int =
         "c": np.full(FILTERS, -1.0),
         "v": rng.normal(0, 0.3, FILTERS),
         "b": np.zeros(1),
+        "u": np.zeros(FILTERS + 1),
     }
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(y), batch)
         x = np.concatenate([chunks[i] for i in pick])
         owner = np.repeat(np.arange(batch), [len(chunks[i]) for i in pick])
+        fill = np.concatenate([fills[i] for i in pick])
         # some documents are seen as a short piece only, so that few bytes are no sign of either class
         for d in np.flatnonzero(rng.random(batch) < 0.4).tolist():
             size = int(np.exp(rng.uniform(np.log(WIDTH), np.log(SPAN))))
             for r in np.flatnonzero(owner == d).tolist():
                 start = int(rng.integers(0, SPAN - size + 1))
                 x[r] = np.resize(x[r, start : start + size], SPAN)
+                fill[r] *= (size - WIDTH + 1) / (2 * STRIDE)
         count = np.bincount(owner, minlength=batch)
         tables = np.einsum("bd,kdf->kbf", p["e"], p["w"]).astype(np.float32)
         n = x.shape[1] - WIDTH + 1
@@ -76,10 +81,11 @@ def fit(chunks: list[np.ndarray], y: np.ndarray, steps: int = 700, batch: int =
             conv += tables[k][x[:, k : k + n]]
         at = conv.argmax(axis=1)
         h = np.tanh(np.take_along_axis(conv, at[:, None, :], 1)[:, 0] + p["c"])
-        z = np.bincount(owner, h @ p["v"] + p["b"][0], batch) / count
+        own = p["v"] + fill[:, None] * p["u"][:-1]
+        z = np.bincount(owner, (h * own).sum(1) + p["b"][0] + fill * p["u"][-1], batch) / count
         dz = ((1 / (1 + np.exp(-z)) - y[pick]) / batch / count)[owner]
-        dm = dz[:, None] * p["v"] * (1 - h * h)
-        g = {"v": h.T @ dz, "b": np.array([dz.sum()]), "c": dm.sum(0)}
+        dm = dz[:, None] * own * (1 - h * h)
+        g = {"v": h.T @ dz, "u": np.append(h.T @ (dz * fill), dz @ fill), "b": np.array([dz.sum()]), "c": dm.sum(0)}
         dt = np.zeros((WIDTH, 256, FILTERS))
         f = np.broadcast_to(np.arange(FILTERS), at.shape)
         for k in range(WIDTH):
@@ -94,7 +100,7 @@ def fit(chunks: list[np.ndarray], y: np.ndarray, steps: int = 700, batch: int =
             b += 0.01 * (grad * grad - b)
             p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
     tables = np.einsum("bd,kdf->kbf", p["e"], p["w"]).astype(np.float32)
-    return Model(tables, p["c"].astype(np.float32), p["v"].astype(np.float32), float(p["b"][0]))
+    return Model(tables, p["c"].astype(np.float32), p["v"].astype(np.float32), float(p["b"][0]), p["u"].astype(np.float32))
 
 
 def _maxima(m: Model, buf: np.ndarray, cuts: np.ndarray, end: int) -> np.ndarray:
@@ -124,7 +130,7 @@ def score_block(m: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for i in np.flatnonzero(size < WIDTH).tolist():
         x = np.zeros(WIDTH, np.uint8)
         x[: size[i]] = buf[offsets[i] : offsets[i + 1]]
-        logit[i] = _logits(m, _maxima(m, x, np.array([0]), 1))[0]
+        logit[i] = _logits(m, _maxima(m, x, np.array([0]), 1), np.array([1 / (2 * STRIDE)]))[0]
     rows = np.flatnonzero(size >= WIDTH)
     if len(rows):
         valid = size[rows] - WIDTH + 1
@@ -141,7 +147,9 @@ def score_block(m: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         chunk = ~gap & (~last | lone)
         at = np.flatnonzero(chunk)
         both = np.where(lone[at][:, None], pooled[at], np.maximum(pooled[at], pooled[np.minimum(at + 1, len(pooled) - 1)]))
-        z = _logits(m, both)
+        width = np.append(np.diff(cuts), 0)
+        fill = (width[at] + np.where(lone[at], 0, width[np.minimum(at + 1, len(width) - 1)])) / (2 * STRIDE)
+        z = _logits(m, both, fill)
         owner = np.repeat(np.arange(len(rows)), cells + 1)[at]
         logit[rows] = np.bincount(owner, z, len(rows)) / np.bincount(owner, minlength=len(rows))
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
@@ -173,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label_col: str =
     # at most ``rows`` rows of two numbers
     sample = id_text(docs).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y").mapInArrow(_chunks, "doc_id long, y int, chunks array<binary>").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["y"], r["chunks"]))
-    chunks = []
+    chunks, fills = [], []
     for r in sample:
         x = np.zeros((len(r["chunks"]), SPAN), np.uint8)
         for i, c in enumerate(r["chunks"]):
@@ -181,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label_col: str =
             c = np.frombuffer(bytes(c), np.uint8)
             x[i] = np.resize(c, SPAN)
         chunks.append(x)
-    return fit(chunks, np.array([r["y"] for r in sample], np.float64))
+        fills.append(np.array([(max(len(c), WIDTH) - WIDTH + 1) / (2 * STRIDE) for c in r["chunks"]]))
+    return fit(chunks, fills, np.array([r["y"] for r in sample], np.float64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
