@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, mixing, neardup, quality, secrets, topk
+from skein.llm import decontam, htmltext, mixing, neardup, pii, quality, secrets, topk
 
 _ALL = {
+    "op1_html": htmltext,
     "op2_mix": mixing,
     "op5_topk": topk,
+    "op6_pii": pii,
     "op7_secrets": secrets,
     "op8_quality": quality,
     "op9_neardup": neardup,
