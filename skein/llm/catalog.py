@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, htmltext, mixing, neardup, pii, quality, secrets, topk
+from skein.llm import decontam, htmltext, mixing, neardup, pii, quality, secrets, substring, suffix, topk
 
 _ALL = {
     "op1_html": htmltext,
     "op2_mix": mixing,
+    "op3_suffix": suffix,
+    "op4_substring": substring,
     "op5_topk": topk,
     "op6_pii": pii,
     "op7_secrets": secrets,
