@@ -9,6 +9,7 @@ all its windows.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +40,14 @@ class Block:
     symbols: np.ndarray
     cuts: np.ndarray  # of symbols, by row
     at: np.ndarray  # first symbol of each window
-    row: np.ndarray
-    anchor: np.ndarray
     bounds: np.ndarray  # of windows, by row
+    runs: np.ndarray  # first window of each run of neighbours in a row that share an anchor
+    run_row: np.ndarray
+    run_anchor: np.ndarray
+
+    def spread(self, of_runs: np.ndarray) -> np.ndarray:
+        """A value of each run, for each window."""
+        return np.repeat(of_runs, np.diff(np.append(self.runs, len(self.at))))
 
 
 def windows(column: pa.Array, unit: Unit):
@@ -53,11 +59,15 @@ def windows(column: pa.Array, unit: Unit):
         else:
             symbols, cuts = BYTE[buf], offsets
         least = sliding_min(gram_hashes(symbols, unit.gram), unit.size - unit.gram + 1)
-        at = np.arange(len(least))
-        row = np.searchsorted(cuts, at, side="right") - 1
-        whole = at + unit.size <= cuts[row + 1]
-        at, row, least = at[whole], row[whole], least[whole]
-        yield Block(first, buf, offsets, symbols, cuts, at, row, least, np.searchsorted(row, np.arange(n + 1)))
+        count = np.maximum(np.diff(cuts) - unit.size + 1, 0)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        at = np.arange(bounds[-1]) + np.repeat(cuts[:-1] - bounds[:-1], count)
+        least = least[at]
+        new = np.ones(len(at), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[bounds[:-1][count > 0]] = True
+        runs = np.flatnonzero(new)
+        yield Block(first, buf, offsets, symbols, cuts, at, bounds, runs, np.searchsorted(bounds, runs, side="right") - 1, least[runs])
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -67,8 +77,8 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for b in windows(batch.column(1), unit):
-                order = np.lexsort((b.row, b.anchor))
-                h, row = b.anchor[order], b.row[order]
+                order = np.lexsort((b.run_row, b.run_anchor))
+                h, row = b.run_anchor[order], b.run_row[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(longs(h[new])), pa.array(ids[b.first + row[new]], pa.int64())], names=["h", "doc_id"])
@@ -76,32 +86,46 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc_id long")
 
 
-def write_run(anchored: DataFrame, spark: SparkSession) -> str:
-    """An immutable run: a table in buckets of h, sorted by h.  Runs join each other without a shuffle."""
+def write_run(anchored: DataFrame, spark: SparkSession, ordered: bool = True) -> str:
+    """An immutable run: a table in buckets of h, one file each, ``ordered`` by h.  Runs join each other without a shuffle."""
     name, n = f"skein_run_{uuid.uuid4().hex}", partitions(spark)
     with freed_shuffles(spark):
-        anchored.repartition(n, "h").write.bucketBy(n, "h").sortBy("h", "doc_id").saveAsTable(name)
+        rows = anchored.repartition(n, "h").write.bucketBy(n, "h")
+        (rows.sortBy("h", "doc_id") if ordered else rows).saveAsTable(name)
     return name
 
 
+@contextmanager
+def runs_in_order(spark: SparkSession):
+    """Within this block, the order of a run's files counts, so that a merge join does not sort them."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def with_anchors(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """(doc_id, text, hs): the documents that have rows (doc_id, h) in ``found``, with these; a written table."""
-    lists = found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    lists = found.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     return written(docs.join(lists, "doc_id").select("doc_id", "text", "hs"), name, "zstd")
 
 
 def candidate_windows(batch: pa.RecordBatch, unit: Unit):
-    """For each block of (doc_id, text, hs): the block and which windows have an anchor among hs."""
+    """For each block of (doc_id, text, hs): the block and which of its runs have an anchor among hs."""
     lists = batch.column(2)
     flat, off = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
     off = off - off[0]
     for b in windows(batch.column(1), unit):
-        hit = np.zeros(len(b.at), bool)
+        hit = np.zeros(len(b.runs), bool)
+        cuts = np.searchsorted(b.run_row, np.arange(len(b.offsets)))
         for r in range(len(b.offsets) - 1):
-            lo, hi = b.bounds[r], b.bounds[r + 1]
+            lo, hi = cuts[r], cuts[r + 1]
             if lo < hi:
                 mine = np.sort(flat[off[b.first + r] : off[b.first + r + 1]])
-                at = np.searchsorted(mine, b.anchor[lo:hi])
+                at = np.searchsorted(mine, b.run_anchor[lo:hi])
                 at[at == len(mine)] = 0
-                hit[lo:hi] = mine[at] == b.anchor[lo:hi]
+                hit[lo:hi] = mine[at] == b.run_anchor[lo:hi]
         yield b, hit

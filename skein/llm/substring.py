@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from skein.llm._bytes import gram_hashes, longs
 from skein.llm._common import id_text, prepare, table, written
-from skein.llm._windows import Unit, anchors, candidate_windows, windows, with_anchors, write_run
+from skein.llm._windows import Unit, anchors, candidate_windows, runs_in_order, windows, with_anchors, write_run
 
 WORDS = Unit(words=True, size=13, gram=5)
 FANOUT = 4
@@ -53,7 +53,8 @@ class FingerprintIndex:
         for i in range(len(self.runs)):
             again = again | F.col(f"in{i}").isNotNull()
         met = met.where(again).select("h")
-        mine = with_anchors(docs, new.join(met, "h").select("doc_id", "h"), "batch-candidates")
+        with runs_in_order(self.spark):
+            mine = with_anchors(docs, new.join(met, "h").select("doc_id", "h"), "batch-candidates")
         prints = self._prints(mine, False)
         if self.runs:
             theirs = [self.spark.table(old).join(met, "h").select("doc_id", "h") for old in self.runs]
@@ -63,7 +64,9 @@ class FingerprintIndex:
             history = self.docs[0]
             for d in self.docs[1:]:
                 history = history.unionByName(d)
-            prints = prints.unionByName(self._prints(with_anchors(history, found, "history-candidates"), True))
+            with runs_in_order(self.spark):
+                theirs = with_anchors(history, found, "history-candidates")
+            prints = prints.unionByName(self._prints(theirs, True))
         seen = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("f1", "f2", "first")
         seen = written(seen, "seen")
         flagged = self._prints(mine, False).join(seen, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("f1").alias("prints"))
@@ -98,7 +101,8 @@ class FingerprintIndex:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for b, hit in candidate_windows(batch, unit):
-                    at, row = b.at[hit], b.row[hit]
+                    at = b.at[b.spread(hit)]
+                    row = np.searchsorted(b.cuts, at, side="right") - 1
                     f1, f2 = (gram_hashes(b.symbols, unit.size, seed)[at] for seed in (0, 1))
                     who = np.full(len(at), EARLIER) if earlier else ids[b.first + row]
                     yield pa.RecordBatch.from_arrays([pa.array(longs(f1)), pa.array(longs(f2)), pa.array(who, pa.int64())], names=["f1", "f2", "doc_id"])

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._bytes import blocks, longs
+from skein.llm._bytes import blocks, list_array, longs, span_hashes
 from skein.llm._common import id_text, partitions, prepare, table, written
 from skein.llm._windows import Unit, anchors, candidate_windows, with_anchors, write_run
 
 BYTES = Unit(words=False, size=50, gram=20)
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -87,82 +87,102 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_documents(segments: list[bytes], firsts: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each segment the least document of each of its strings of ``size`` bytes, over all segments."""
-    lengths = np.array([len(x) for x in segments])
-    joined = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+def first_documents(joined: np.ndarray, starts: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments lie in ``joined``, each followed by a byte that is none of theirs.
+
+    (positions, documents): where strings of ``size`` bytes start, in order, and the
+    least document of each string over all segments.
+    """
     symbols = joined.astype(np.int64) + 2
     symbols[starts + lengths] = 1  # no byte
     sa = suffix_array(symbols)
-    owner = np.repeat(np.arange(len(segments)), lengths + 1)
-    left = (starts + lengths)[owner] - np.arange(len(joined))
-    sa = sa[left[sa] >= size]
+    owner = np.repeat(np.arange(len(starts)), lengths + 1)
+    whole = (starts + lengths)[owner] - np.arange(len(joined)) >= size
+    sa = sa[whole[sa]]
     padded = np.concatenate([joined, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(joined), 8), (1, 1))
     equal = np.ones(max(0, len(sa) - 1), bool)
     for lo in (*range(0, size - 7, 8), size - 8):
-        word = np.zeros(len(sa), np.uint64)
-        for k in range(8):
-            word |= padded[sa + lo + k].astype(np.uint64) << np.uint64(8 * k)
+        word = np.ascontiguousarray(words[sa + lo]).view(np.uint64)[:, 0]
         equal &= word[1:] == word[:-1]
-    runs = np.flatnonzero(np.concatenate([[True], ~equal])) if len(sa) else np.zeros(0, np.int64)
     least = np.empty(len(joined), np.int64)
     if len(sa):
-        mins = np.minimum.reduceat(firsts[owner[sa]], runs)
-        least[sa] = np.repeat(mins, np.diff(np.append(runs, len(sa))))
-    return [least[s : s + n - size + 1] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        runs = np.flatnonzero(np.concatenate([[True], ~equal]))
+        least[sa] = np.repeat(np.minimum.reduceat(firsts[owner[sa]], runs), np.diff(np.append(runs, len(sa))))
+    at = np.flatnonzero(whole)
+    return at, least[at]
+
+
+def _keys(buf: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two independent hashes of each segment."""
+    return pa.array(longs(span_hashes(buf, a, z))), pa.array(longs(span_hashes(255 - buf, a, z)))
 
 
-def _segments(unit: Unit):
-    """(doc_id, text, hs) to segments: (h, doc_id, start, segment)."""
+def _segments(unit: Unit, place: bool):
+    """(doc_id, text, hs) to segments: (h, doc_id, segment), or (k1, k2, doc_id, start)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for b, hit in candidate_windows(batch, unit):
-                at, row, h = b.at[hit], b.row[hit], b.anchor[hit]
-                if not len(at):
+                if not hit.any():
                     continue
-                new = np.ones(len(at), bool)
-                new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
-                lo = np.flatnonzero(new)
-                hi = np.append(lo[1:], len(at)) - 1
-                a, z = at[lo], at[hi] + unit.size
-                raw = b.buf.tobytes()
-                pieces = [raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(longs(h[lo])), pa.array(ids[b.first + row[lo]], pa.int64()), pa.array(a - b.offsets[row[lo]]), pa.array(pieces, pa.binary())],
-                    names=["h", "doc_id", "start", "segment"],
-                )
+                row = b.run_row[hit]
+                who = pa.array(ids[b.first + row], pa.int64())
+                a = b.at[b.runs[hit]]
+                z = b.at[np.append(b.runs[1:], len(b.at))[hit] - 1] + unit.size
+                if place:
+                    yield pa.RecordBatch.from_arrays([*_keys(b.buf, a, z), who, pa.array(a - b.offsets[row])], names=["k1", "k2", "doc_id", "start"])
+                else:
+                    raw = b.buf.tobytes()
+                    pieces = [raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(longs(b.run_anchor[hit])), who, pa.array(pieces, pa.binary())], names=["h", "doc_id", "segment"])
 
     return run
 
 
 def _sorted_strings(size: int):
-    """Rows (h, segment, first, last) sorted by h to rows (segment, runs): stretches of strings whose first document is earlier than ``last``."""
-
-    def solve(rows):
-        out = []
-        for (_, segment, _, last), least in zip(rows, first_documents([r[1] for r in rows], np.array([r[2] for r in rows]), size), strict=True):
-            cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            runs = [{"a": int(a), "b": int(b), "first": int(least[a])} for a, b in zip(cut, np.append(cut[1:], len(least)), strict=True) if least[a] < last]
-            if runs:
-                out.append((segment, runs))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.binary()), pa.array([r for _, r in out], kind)], names=["segment", "runs"])
-
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())]))
+    """Rows (h, segment, first, last) sorted by h to rows (k1, k2, runs): stretches of strings whose first document is earlier than ``last``."""
+
+    def solve(rows: pa.Table):
+        rows = rows.combine_chunks()
+        _, off, data = rows["segment"].chunk(0).buffers()
+        base = rows["segment"].chunk(0).offset
+        off = np.frombuffer(off, np.int32)[base : base + rows.num_rows + 1].astype(np.int64)
+        lengths = np.diff(off)
+        starts = off[:-1] - off[0] + np.arange(len(lengths))
+        joined = np.zeros(int(lengths.sum()) + len(lengths), np.uint8)
+        joined[np.arange(off[-1] - off[0]) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+        firsts, lasts = rows["first"].to_numpy(), rows["last"].to_numpy()
+        at, least = first_documents(joined, starts, lengths, firsts, size)
+        owner = np.searchsorted(starts, at, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+        cut = np.flatnonzero(new)
+        end = at[np.append(cut[1:], len(at)) - 1] + 1
+        good = least[cut] < lasts[owner[cut]]
+        cut, end = cut[good], end[good]
+        count = np.bincount(owner[cut], minlength=len(starts))
+        begin = starts[owner[cut]]
+        runs = pa.StructArray.from_arrays([pa.array(at[cut] - begin), pa.array(end - begin), pa.array(least[cut])], fields=list(kind))
+        some = pa.array(count > 0)
+        out = pa.RecordBatch.from_arrays([*_keys(joined, starts, starts + lengths), list_array(runs, count)], names=["k1", "k2", "runs"])
+        return out.filter(some)
+
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])
 
     def run(batches):
-        rows, held = [], 0
+        held = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held > PIECE and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[1])
-        if rows:
-            yield solve(rows)
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            h = held["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last anchor may go on
+            if cut and held.nbytes > PIECE:
+                yield solve(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield solve(held)
 
     return run
 
@@ -197,19 +217,17 @@ def dedup_suffixes(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row."""
     spark = prepare(docs.sparkSession)
     docs = id_text(docs).where(F.col("doc_id").isNotNull())
-    run = write_run(anchors(docs, unit), spark)
+    run = write_run(anchors(docs, unit), spark, ordered=False)
     rows = spark.table(run)
     met = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
-    found = with_anchors(docs, rows.join(met, "h").select("doc_id", "h"), "suffix-candidates")
+    found = with_anchors(docs, rows.join(met.hint("shuffle_hash"), "h").select("doc_id", "h"), "suffix-candidates")
     spark.sql(f"DROP TABLE IF EXISTS {run}")
-    segments = found.mapInArrow(_segments(unit), "h long, doc_id long, start long, segment binary")
-    key = [F.xxhash64("segment").alias("k1"), F.xxhash64("segment", F.lit(1)).alias("k2")]
     # dealt out by h first, so that grouping by (h, segment) needs no shuffle of its own
-    dealt = segments.select("h", "segment", "doc_id").repartition(partitions(spark), "h")
+    dealt = found.mapInArrow(_segments(unit, False), "h long, doc_id long, segment binary").repartition(partitions(spark), "h")
     alike = dealt.groupBy("h", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).sortWithinPartitions("h")
-    strings = alike.select("h", "segment", "first", "last").mapInArrow(_sorted_strings(unit.size), "segment binary, runs array<struct<a:long,b:long,first:long>>").select(*key, "runs")
-    strings = written(strings, "strings")
-    spans = segments.select(*key, "doc_id", "start").join(strings, ["k1", "k2"]).select("doc_id", "start", F.explode("runs").alias("x")).where("doc_id > x.first")
+    strings = written(alike.mapInArrow(_sorted_strings(unit.size), "k1 long, k2 long, runs array<struct<a:long,b:long,first:long>>"), "strings")
+    places = found.mapInArrow(_segments(unit, True), "k1 long, k2 long, doc_id long, start long")
+    spans = places.join(strings.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "start", F.explode("runs").alias("x")).where("doc_id > x.first")
     spans = spans.select("doc_id", (F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b") + (unit.size - 1)).alias("b"))
     spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
