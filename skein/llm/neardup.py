@@ -156,12 +156,14 @@ def _prefix_pairs(parted: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     rows = written(wanted.join(sets, "rep").select("rep", "component", "set").mapInArrow(shingles, "rep long, component long, size long, shingle long"), "shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rep").orderBy("df", "shingle")
-    prefix = rows.join(common, "shingle").select("*", F.row_number().over(order).alias("at")).where(f"at <= size - ceil({percent} * size / 100.0D - 1e-9D) + 1").select("rep", "component", "size", "shingle")
+    prefix = rows.join(common, "shingle").select("*", F.row_number().over(order).alias("at")).where(f"at <= size - ceil({percent} * size / 100.0D - 1e-9D) + 1").select("rep", "component", "size", "shingle", "at")
     prefix = written(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
     prefix = prefix.join(mixed, "shingle")
-    x, y = (prefix.select("shingle", F.col("rep").alias(n), F.col("component").alias(f"c{n}"), F.col("size").alias(f"s{n}")) for n in "ab")
-    return x.join(y, "shingle").where(f"a < b AND ca <> cb AND 100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b").distinct()
+    x, y = (prefix.select("shingle", F.col("rep").alias(n), F.col("component").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("at").alias(f"at{n}")) for n in "ab")
+    # what follows the first shingle that two sets share bounds how many they can share
+    enough = f"(1 + least(sa - ata, sb - atb)) * {100 + percent} >= {percent} * (sa + sb)"
+    return x.join(y, "shingle").where(f"a < b AND ca <> cb AND {enough}").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
