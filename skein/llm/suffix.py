@@ -26,7 +26,7 @@ from skein.llm._common import id_text, partitions, prepare, table, written
 from skein.llm._windows import Unit, anchors, candidate_windows, with_anchors, write_run
 
 BYTES = Unit(words=False, size=50, gram=20)
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -56,6 +56,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     top = int(t.max()) + 1
     if top < 1 << 20:
         keys = (t[sample] * top + t[sample + 1]) * top + t[np.minimum(sample + 2, n + 2)]
+        if top**3 < 1 << 31:
+            keys = keys.astype(np.int32)
     else:
         keys = _pairs(_names(_pairs(t[sample], t[sample + 1]))[1], t[np.minimum(sample + 2, n + 2)])
     order, names, count = _names(keys)
@@ -81,8 +83,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     out = np.empty(n, np.int64)
     out[np.arange(len(zero)) + np.searchsorted(s1, z1) + np.searchsorted(s2, z2)] = zero
     before = np.empty(len(sa), np.int64)
-    before[is_one] = np.searchsorted(z1, s1, side="right")
-    before[~is_one] = np.searchsorted(z2, s2, side="right")
+    before[is_one] = np.searchsorted(z1, s1)
+    before[~is_one] = np.searchsorted(z2, s2)
     out[np.arange(len(sa)) + before] = sa
     return out
 
@@ -177,10 +179,15 @@ def _sorted_strings(size: int):
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
             h = held["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last anchor may go on
-            if cut and held.nbytes > PIECE:
-                yield solve(held.slice(0, cut))
-                held = held.slice(cut)
+            last = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last anchor may go on
+            step = max(1, len(h) * PIECE // max(1, held.nbytes))
+            lo = 0
+            while lo < last:
+                hi = min(last, int(np.searchsorted(h, h[min(lo + step, last)])))
+                hi = hi if hi > lo else min(last, int(np.searchsorted(h, h[lo], side="right")))
+                yield solve(held.slice(lo, hi - lo))
+                lo = hi
+            held = held.slice(lo)
         if held is not None and held.num_rows:
             yield solve(held)
 
