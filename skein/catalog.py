@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+from pyspark.sql import DataFrame, SparkSession
 
+from skein import sources
+from skein.operators.index import Index
+from skein.plans import oracle
+from skein.plans.queries import QUERIES
 
-def queries():
-    return {}
 
+def _ready(spark: SparkSession) -> None:
+    """Let Python workers import this package also when the driver was started elsewhere."""
+    import os
 
-def oracle_sql():
-    return {}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def _run(f: Callable[[Index], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    _ready(spark)
+    return f(Index(sources.read_vectors(spark, f"{sf_dir}/embeddings.parquet")))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(QUERIES["rerank_knn"], spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: partial(_run, f) for name, f in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
