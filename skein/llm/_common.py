@@ -62,6 +62,18 @@ def freed_shuffles(spark: SparkSession):
             spark.conf.set(key, old)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 2000):
+    """Within this block, jobs hand rows to Python in batches of so many, to bound a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm._bytes import U64, blocks, gram_hashes, list_array, longs, mix, span_hashes, words
-from skein.llm._common import id_text, prepare, table, written
+from skein.llm._bytes import SLAB, U64, blocks, gram_hashes, list_array, longs, mix, span_hashes, words
+from skein.llm._common import arrow_batches, id_text, prepare, table, written
 from skein.llm._graph import components
 
 BINS, ROWS = 128, 4
@@ -40,7 +40,7 @@ EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 def shingle_sets(column: pa.Array, k: int):
     """For each block of rows: (row of each shingle hash, hash), sorted by both, without repeats, and the number of rows."""
-    for _, buf, offsets in blocks(column):
+    for _, buf, offsets in blocks(column, SLAB):
         n = len(offsets) - 1
         starts, ends, row = words(buf, offsets)
         h = span_hashes(buf, starts, ends, lower=True)
@@ -168,7 +168,12 @@ def _prefix_pairs(parted: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
-    spark = prepare(docs.sparkSession)
+    with arrow_batches(prepare(docs.sparkSession)):
+        return _near_duplicates(docs, k, percent, id_col, text_col, hub_rounds)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, hub_rounds: int) -> DataFrame:
+    spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     sketched = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches")
     some = sketched.where("n_shingles > 0")
