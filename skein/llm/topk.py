@@ -90,13 +90,15 @@ class _Group:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
-        self.levels = [_stats(q.astype(np.float64), s) for s in LEVELS]
+        self.real = q.astype(np.float64)
+        self.levels = [_stats(self.real, s) for s in LEVELS]
         self.bar = np.full(len(ids), -np.inf)
         self.who, self.score, self.found = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
         x = c.astype(np.float64)
         stats = [_stats(x, s) for s in LEVELS]
+        narrow = float(np.abs(self.real).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**52
         for lo in range(0, len(self.ids), 256):
             rows = slice(lo, min(lo + 256, len(self.ids)))
             bound = self.levels[0][rows] @ stats[0].T
@@ -117,6 +119,9 @@ class _Group:
                 else:
                     alive &= q[rows] @ s.T + slack >= self.bar[rows, None]
             alive &= fine + slack >= self.bar[rows, None]
+            if narrow and alive.sum() * 32 > alive.size:
+                # many survivors: their exact scores come from one product, whole numbers in doubles
+                alive &= self.real[rows] @ x.T >= self.bar[rows, None]
             a, b = np.nonzero(alive)
             self._take(a + lo, b, ids, c)
 
