@@ -65,8 +65,8 @@ _SEARCH = f"se AS MATERIALIZED ({_rerank(C.nc1, C.nc2)})\n"
 _POS = "SELECT vec_id, sketch, CAST(row_number() OVER (ORDER BY sketch, vec_id) - 1 AS BIGINT) AS pos FROM s"
 _CTX = "SELECT qid, sketch AS qs, p, bd, rank FROM {} JOIN s ON s.vec_id = qid"
 _KNN = f"(SELECT * FROM ex WHERE rank <= {C.k})"
-_PAIRS5 = "FROM e q JOIN e USING (j) WHERE q.vec_id < 5"
-_PROJ5 = "FROM sm q JOIN sm USING (p) WHERE q.vec_id < 5"
+_PAIRS = f"FROM e q JOIN e USING (j) WHERE q.vec_id < {C.nq}"
+_PROJ = f"FROM sm q JOIN sm USING (p) WHERE q.vec_id < {C.nq}"
 _TRIALS = [(0, 60, 30), (1, 100, 30), (2, 200, 40)]
 
 
@@ -78,8 +78,8 @@ FINAL = {
     "scan_vectors": "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM raw",
     "slice_range": "SELECT vec_id, label FROM raw WHERE vec_id BETWEEN 100 AND 149",
     "point_get": "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x0 FROM raw WHERE vec_id = 7",
-    "union_files": "SELECT vec_id AS gid, label FROM raw UNION ALL SELECT vec_id + 1000000, label FROM raw WHERE vec_id < 100",
-    "gather_by_id": "SELECT vec_id, label FROM raw WHERE vec_id % 37 = 0",
+    "union_files": "SELECT vec_id AS gid, label FROM raw UNION ALL SELECT vec_id + 1000000, label FROM raw",
+    "gather_by_id": f"SELECT vec_id, label FROM raw WHERE vec_id IN (SELECT vec_id FROM ({_second(C.nc1, C.nc2)}))",
     "params": "SELECT CAST(t AS INTEGER) AS trial, CAST(x AS INTEGER) AS nc1, CAST(y AS INTEGER) AS nc2 FROM (VALUES " + ", ".join(map(str, _TRIALS)) + ") v(t, x, y)",
     "ground_truth": f"SELECT qid, rank, vec_id, dist FROM {_KNN}",
     "result_wide": "SELECT qid, string_agg(CAST(vec_id + 1 AS VARCHAR), ',' ORDER BY rank) AS ids FROM se GROUP BY qid",
@@ -88,10 +88,10 @@ FINAL = {
     "rotate": f"SELECT vec_id, CAST(k AS INTEGER) AS j, x FROM e JOIN range(0, {C.dim}) t(k) ON e.j = (k * 5 + 3) % {C.dim}",
     "binarize": "SELECT vec_id, j, x FROM bin",
     "ternarize": "SELECT vec_id, j, CASE WHEN x < m - sd * 0.5::DOUBLE THEN -127 WHEN x > m + sd * 0.5::DOUBLE THEN 127 ELSE 0 END AS x FROM e JOIN (SELECT j, a / n AS m, sqrt(b / n - (a / n) * (a / n)) AS sd FROM (SELECT j, CAST(sum(x) AS DOUBLE) AS a, CAST(sum(x * x) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY j)) USING (j)",
-    "dist_l1": "SELECT qid, vec_id, l1 AS dist FROM a WHERE qid < 5",
-    "dist_l2sq": "SELECT qid, vec_id, dist FROM a WHERE qid < 5",
-    "dist_l2_part": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS5} AND j BETWEEN 16 AND 31 GROUP BY q.vec_id, e.vec_id",
-    "dist_l2_sparse": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS5} AND j % 7 = 0 GROUP BY q.vec_id, e.vec_id",
+    "dist_l1": "SELECT qid, vec_id, l1 AS dist FROM a",
+    "dist_l2sq": "SELECT qid, vec_id, dist FROM a",
+    "dist_l2_part": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS} AND j BETWEEN 16 AND 31 GROUP BY q.vec_id, e.vec_id",
+    "dist_l2_sparse": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS} AND j % 7 = 0 GROUP BY q.vec_id, e.vec_id",
     "dist_pivot": "SELECT vec_id, p, d AS dist FROM d",
     "sketch": "SELECT vec_id, sketch FROM s",
     "sketch_1bit": "SELECT vec_id, CASE WHEN d < r THEN 1 ELSE 0 END AS bit FROM d JOIN r USING (p) WHERE p = 3",
@@ -109,13 +109,13 @@ FINAL = {
     "qsmap_mixed": f"SELECT vec_id, p, CAST(least(b - 1, trunc(greatest(CAST(s AS DOUBLE) - off, 0) / (2 * {C.q_range}::DOUBLE * sd / b))) AS INTEGER) AS code FROM (SELECT *, CASE WHEN p % 3 = 2 THEN 4 ELSE 8 END AS b FROM sm, qp)",
     "pack_codes": f"SELECT vec_id, CAST(p // {8 // _B} AS INTEGER) AS i, CAST(sum(code << ({_B} * ({8 // _B - 1} - p % {8 // _B}))) AS INTEGER) AS byte, true AS same FROM co GROUP BY vec_id, p // {8 // _B}",
     "dist_table": "SELECT qid, p, code, t FROM ta",
-    "proj_dist_l1": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum(abs(q.s - sm.s)) AS BIGINT) AS dist {_PROJ5} GROUP BY q.vec_id, sm.vec_id",
-    "proj_dist_l2": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum((q.s - sm.s) * (q.s - sm.s)) AS BIGINT) AS dist {_PROJ5} GROUP BY q.vec_id, sm.vec_id",
-    "proj_dist_l2max": f"SELECT qid, vec_id, CAST(sum(m) AS BIGINT) AS dist FROM (SELECT q.vec_id AS qid, sm.vec_id, p // 4 AS g, max((q.s - sm.s) * (q.s - sm.s)) AS m {_PROJ5} GROUP BY q.vec_id, sm.vec_id, p // 4) GROUP BY qid, vec_id",
-    "proj_dist_lp": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum(CAST(trunc(pow(abs(q.s - sm.s), 1.5::DOUBLE)) AS BIGINT)) AS BIGINT) AS dist {_PROJ5} GROUP BY q.vec_id, sm.vec_id",
-    "proj_dist_table": "SELECT qid, vec_id, d2 FROM d2 WHERE qid < 5",
-    "proj_dist_packed": "SELECT qid, vec_id, d2 FROM d2 WHERE qid < 5",
-    "proj_dist_inf": "SELECT qid, vec_id, t AS d2 FROM d2 WHERE qid < 5",
+    "proj_dist_l1": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum(abs(q.s - sm.s)) AS BIGINT) AS dist {_PROJ} GROUP BY q.vec_id, sm.vec_id",
+    "proj_dist_l2": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum((q.s - sm.s) * (q.s - sm.s)) AS BIGINT) AS dist {_PROJ} GROUP BY q.vec_id, sm.vec_id",
+    "proj_dist_l2max": f"SELECT qid, vec_id, CAST(sum(m) AS BIGINT) AS dist FROM (SELECT q.vec_id AS qid, sm.vec_id, p // 4 AS g, max((q.s - sm.s) * (q.s - sm.s)) AS m {_PROJ} GROUP BY q.vec_id, sm.vec_id, p // 4) GROUP BY qid, vec_id",
+    "proj_dist_lp": f"SELECT q.vec_id AS qid, sm.vec_id, CAST(sum(CAST(trunc(pow(abs(q.s - sm.s), 1.5::DOUBLE)) AS BIGINT)) AS BIGINT) AS dist {_PROJ} GROUP BY q.vec_id, sm.vec_id",
+    "proj_dist_table": "SELECT qid, vec_id, d2 FROM d2",
+    "proj_dist_packed": "SELECT qid, vec_id, d2 FROM d2",
+    "proj_dist_inf": "SELECT qid, vec_id, t AS d2 FROM d2",
     "bit_ops": "SELECT vec_id, CAST(bit_count(sketch) AS INTEGER) AS ones, CASE WHEN sketch = 0 THEN -1 ELSE CAST(log2(sketch & -sketch) AS INTEGER) END AS lsb, CASE WHEN sketch = 0 THEN -1 ELSE CAST(floor(log2(sketch)) AS INTEGER) END AS msb, CASE WHEN sketch = 0 THEN 0 ELSE (sketch + (sketch & -sketch)) | ((xor(sketch, sketch + (sketch & -sketch)) // (sketch & -sketch)) >> 2) END AS next FROM s",
     "build_sketches": "SELECT sketch, vec_id FROM s",
     "sort_by_sketch": "SELECT sketch, vec_id FROM s ORDER BY sketch, vec_id",
@@ -145,9 +145,9 @@ FINAL = {
     "rerank_knn": "SELECT * FROM se",
     "rerank_nn": "SELECT qid, vec_id, dist FROM se WHERE rank = 1",
     "exact_knn": f"SELECT qid, rank, vec_id, dist FROM {_KNN}",
-    "topk_answers": f"SELECT qid, rank, vec_id FROM {_KNN} WHERE qid < 5",
-    "select_k": "SELECT qid, vec_id, dist FROM ex WHERE rank <= 25 AND qid < 5",
-    "sort_answers": "SELECT vec_id, dist FROM a WHERE qid = 0 ORDER BY dist, vec_id",
+    "topk_answers": f"SELECT qid, rank, vec_id FROM {_KNN}",
+    "select_k": "SELECT qid, vec_id, dist FROM ex WHERE rank <= 25",
+    "sort_answers": "SELECT qid, vec_id, dist FROM a ORDER BY qid, dist, vec_id",
     "select_k_ties": "SELECT qid, vec_id, prio FROM (SELECT *, rank() OVER (PARTITION BY qid ORDER BY prio) AS k FROM mem) WHERE k <= 50",
     "threshold_k": "SELECT qid, min(prio) AS bound FROM (SELECT *, rank() OVER (PARTITION BY qid ORDER BY prio) AS k FROM mem) WHERE k > 50 GROUP BY qid",
     "select_weighted": "SELECT qid, sketch, n FROM (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY prio, sketch) AS cum FROM pr) WHERE cum - n < 80",

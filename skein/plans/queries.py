@@ -19,8 +19,8 @@ def query(f):
 
 
 def _pairs(x: Index) -> DataFrame:
-    """The first queries against all vectors: a stated query set."""
-    return x.vectors.join(F.broadcast(x.queries.where("qid < 5")), F.lit(True))
+    """The stated queries against all vectors."""
+    return x.vectors.join(F.broadcast(x.queries), F.lit(True))
 
 
 # --- sources and sinks
@@ -43,13 +43,13 @@ def point_get(x):
 
 @query
 def union_files(x):
-    parts = [x.raw.select("vec_id", "label"), x.raw.where("vec_id < 100").select("vec_id", "label")]
+    parts = [x.raw.select("vec_id", "label")] * 2
     return sources.union_files(parts, [0, 1_000_000]).select("gid", "label")
 
 
 @query
 def gather_by_id(x):
-    return sources.gather(x.raw, x.raw.where("vec_id % 37 = 0").select("vec_id")).select("vec_id", "label")
+    return sources.gather(x.raw, x.double_filter().select("vec_id")).select("vec_id", "label")
 
 
 @query
@@ -228,7 +228,7 @@ def dist_table(x):
 
 
 def _projected(x):
-    q = x.projections.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("s").alias("qs"))
+    q = x.projections.where(F.col("vec_id") < x.config.nq).select(F.col("vec_id").alias("qid"), F.col("s").alias("qs"))
     return x.projections.join(F.broadcast(q), F.lit(True))
 
 
@@ -267,13 +267,13 @@ def proj_dist_table(x):
 def proj_dist_packed(x):
     """The same distance from packed codes."""
     rows = x.codes.withColumn("b", X.pack("c", x.config.bits)).select("vec_id", X.unpack("b", x.config.bits, x.config.parts).alias("c"))
-    rows = rows.join(F.broadcast(x.tables.where("qid < 5")), F.lit(True))
+    rows = rows.join(F.broadcast(x.tables), F.lit(True))
     return rows.select("qid", "vec_id", F.expr("aggregate(transform(c, (k, p) -> t[p][k]), 0L, (a, y) -> a + y)").alias("d2"))
 
 
 @query
 def proj_dist_inf(x):
-    rows = x.codes.join(F.broadcast(x.tables.where("qid < 5")), F.lit(True))
+    rows = x.codes.join(F.broadcast(x.tables), F.lit(True))
     return rows.select("qid", "vec_id", F.expr("array_max(transform(c, (k, p) -> t[p][k]))").alias("d2"))
 
 
@@ -475,7 +475,7 @@ def select_k(x):
 
 @query
 def sort_answers(x):
-    return _answers(x).where("qid = 0").orderBy("dist", "vec_id").select("vec_id", "dist")
+    return _answers(x).orderBy("qid", "dist", "vec_id").select("qid", "vec_id", "dist")
 
 
 @query
