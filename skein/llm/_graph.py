@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Both steps are a grouped minimum and a join; the edges in hand are written to
-the shared folder after each pair of steps, and nothing but a checksum reaches
-the driver.
+Both steps are a grouped minimum and a join.  The minima are written before they
+are joined, so that the join can split the edges of a node that has very many.
+The edges in hand are written to the shared folder after each step, and nothing
+but a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: each neighbour above a node is tied to the least of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large-stars")
         # small star: a node and its neighbours below it are tied to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         now = _sum(edges)

@@ -154,12 +154,12 @@ def _prefix_pairs(parted: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     wanted = parted.groupBy("rep", "component").agg(F.count("*").alias("n")).where("n > 1").select("rep", "component")
     rows = written(wanted.join(sets, "rep").select("rep", "component", "set").mapInArrow(shingles, "rep long, component long, size long, shingle long"), "shingles")
-    common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    common = written(rows.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
     order = Window.partitionBy("rep").orderBy("df", "shingle")
     prefix = rows.join(common, "shingle").select("*", F.row_number().over(order).alias("at")).where(f"at <= size - ceil({percent} * size / 100.0D - 1e-9D) + 1").select("rep", "component", "size", "shingle", "at")
     prefix = written(prefix, "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
-    prefix = prefix.join(mixed, "shingle")
+    mixed = written(prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "mixed-shingles")
+    prefix = written(prefix.join(mixed, "shingle"), "mixed-prefixes")
     x, y = (prefix.select("shingle", F.col("rep").alias(n), F.col("component").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("at").alias(f"at{n}")) for n in "ab")
     # what follows the first shingle that two sets share bounds how many they can share
     enough = f"(1 + least(sa - ata, sb - atb)) * {100 + percent} >= {percent} * (sa + sb)"
@@ -180,7 +180,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     reps = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     reps = written(reps, "representatives")
     buckets = reps.select("rep", F.explode("keys").alias("bucket")).distinct()
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # a written count or hub, unlike one still to be aggregated, lets a join on it split the rows of a large bucket
+    buckets = written(buckets, "all-buckets")
+    sizes = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = written(buckets.join(sizes, "bucket"), "buckets")
 
     degree = members.groupBy("rep").agg(F.sum("n").alias("weight"))
@@ -200,12 +202,13 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         parted = left.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         if turn:
             mixed = parted.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+            mixed = written(mixed, "mixed")
             parted = written(parted.join(mixed, "bucket"), "left")
             if not parted.take(1):
                 break
         if turn < hub_rounds:
             hubs = parted.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "component")).alias("h"))
-            hubs = hubs.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.component").alias("hub_component"))
+            hubs = written(hubs.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.component").alias("hub_component")), "hubs")
             parted = parted.join(hubs, "bucket")
             edges = parted.where("component <> hub_component").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
             left = written(parted.where("rep <> hub").select("bucket", "rep", "weight"), "next") if turn else parted.where("rep <> hub").select("bucket", "rep", "weight")
