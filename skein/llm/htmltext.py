@@ -253,19 +253,25 @@ def _outside(path: list[list[str]]) -> bool:
     return False
 
 
-def main_paths(wrapper: list) -> list[str]:
-    """The paths of the wrapper's slots that hold the main text."""
+def main_paths(wrapper: list) -> list[list[str]]:
+    """The paths of the wrapper's slots that hold the main text, by preference: within articles, the main part, content, or all that is not outside."""
     paths = {p: [k.split(".") for k in p.split("/")] if p else [] for p in slot_paths(wrapper)}
     good = [p for p, keys in paths.items() if not _outside(keys)]
 
     def within(test):
-        return [p for p in good if any(test(k) for k in paths[p])]
+        return sorted(p for p in good if any(test(k) for k in paths[p]))
 
-    return sorted(within(lambda k: k[0] == "article") or within(lambda k: k[0] == "main" or "main" in k[1:]) or within(lambda k: {"article", "content"} & set(k[1:])) or good)
+    return [within(lambda k: k[0] == "article"), within(lambda k: k[0] == "main" or "main" in k[1:]), within(lambda k: bool({"article", "content"} & set(k[1:]))), sorted(good)]
 
 
-def main_text(page: str | None, paths: frozenset[str]) -> str:
-    return "\n".join(text for where, text in slots(page or "") if where is not None and _inline_free(where) in paths)
+def main_text(page: str | None, paths: list[frozenset[str]]) -> str:
+    """What the page holds in the slots of the first preference that it has any text in; a host's pages need not all be articles."""
+    found = [(_inline_free(where), text) for where, text in slots(page or "") if where is not None]
+    for wanted in paths:
+        texts = [text for where, text in found if where in wanted]
+        if texts:
+            return "\n".join(texts)
+    return ""
 
 
 def _host(url: str | None) -> str:
@@ -310,14 +316,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(found, "host", "left").select("page_id", "url", "html", "nodes")
 
     def run(batches):
-        known: dict[str, frozenset] = {}
+        known: dict[str, list[frozenset]] = {}
         for batch in batches:
             out = []
             for page, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if nodes not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[nodes] = frozenset(main_paths(json.loads(nodes) if nodes else stream(page or "")))
+                    known[nodes] = [frozenset(p) for p in main_paths(json.loads(nodes) if nodes else stream(page or ""))]
                 out.append(main_text(page, known[nodes]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 

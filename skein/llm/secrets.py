@@ -59,6 +59,7 @@ MORE_RULES = (
 
 # A trigram query: True (anything), a bytes trigram, ("and", ...) or ("or", ...).
 _MOST = 64
+ANY_CASE = sre.SRE_FLAG_IGNORECASE
 
 
 def _and(parts):
@@ -146,7 +147,10 @@ def _walk(tree) -> tuple[frozenset[str] | None, object]:
 
 def trigram_query(pattern: str):
     """The Boolean query that every text with a match fulfils; True if none follows."""
-    exact, query = _walk(sre_parse.parse(pattern))
+    tree = sre_parse.parse(pattern)
+    if tree.state.flags & ANY_CASE or re.search(r"\(\?[a-zA-Z]*i", pattern):  # letters of either case imply no trigram
+        return True
+    exact, query = _walk(tree)
     return _grams(exact) if exact is not None else query
 
 

@@ -189,6 +189,7 @@ def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", b"AKI", b"KIA")
     assert secrets.trigram_query("a?b") is True
     assert secrets.trigram_query("(abc|xyz)q*") == ("or", b"abc", b"xyz")
+    assert secrets.trigram_query("(?i)secret") is True and secrets.trigram_query("(?i:secret)=") is True
 
 
 # --- quality
@@ -253,6 +254,12 @@ def test_html_keeps_the_article_alone(spark):
     assert got == {0: "T0 & co\nfirst para\nsecond bold <x>\nthird", 1: "T1 & co\nonly", 2: "T2 & co\na\nb\nc", 3: "T3 & co", 4: "T4 & co\nx y\nq", 8: "", 9: "", 10: "plain & text"}
 
 
+def test_html_of_a_host_with_several_layouts(spark):
+    rows = [(0, "<body><nav>n</nav><article><p>a</p></article><p>out</p></body>"), (1, "<body><nav>n</nav><main><p>b</p></main><p>out</p></body>"), (2, "<body><nav>n</nav><p>c</p></body>"), (3, "<body><nav>n</nav></body>")]
+    docs = spark.createDataFrame([(i, "http://h.example/p", h) for i, h in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(docs).collect()} == {0: "a", 1: "b", 2: "c", 3: ""}
+
+
 def test_html_on_the_pages(spark):
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist()}
     for r in htmltext.query(spark, DATA).collect():
