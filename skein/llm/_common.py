@@ -63,15 +63,17 @@ def freed_shuffles(spark: SparkSession):
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 2000):
-    """Within this block, jobs hand rows to Python in batches of so many, to bound a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m"):
+    """Within this block, jobs hand rows to Python in batches of so many and of about that size, to bound a worker's memory."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    old = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
