@@ -76,6 +76,13 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m"):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """The bound of ``arrow_batches`` from now on, where the session has set none: for frames that are run by their caller."""
+    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

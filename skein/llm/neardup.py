@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm._bytes import SLAB, U64, blocks, gram_hashes, list_array, longs, mix, span_hashes, words
+from skein.llm._bytes import BASE, SLAB, U64, blocks, gram_hashes, list_array, longs, mix, span_hashes, words
 from skein.llm._common import arrow_batches, id_text, prepare, table, written
 from skein.llm._graph import components
 
@@ -49,9 +49,12 @@ def shingle_sets(column: pa.Array, k: int):
         at, grams = row[: len(grams)][keep], grams[keep]
         count = np.bincount(row, minlength=n)
         first = np.searchsorted(row, np.arange(n))
-        for r in np.flatnonzero((count > 0) & (count < k)).tolist():
-            whole = gram_hashes(h[first[r] : first[r] + count[r]], int(count[r]), seed=int(count[r]))
-            at, grams = np.append(at, r), np.append(grams, whole)
+        for size in range(1, k):
+            short = np.flatnonzero(count == size)
+            whole = np.full(len(short), size, U64)
+            for j in range(size):
+                whole = mix(whole * U64(BASE) ^ h[first[short] + j])
+            at, grams = np.append(at, short), np.append(grams, whole)
         order = np.lexsort((grams, at))
         at, grams = at[order], grams[order]
         new = np.ones(len(at), bool)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm._bytes import blocks
-from skein.llm._common import id_text, prepare, table
+from skein.llm._common import bounded_batches, id_text, prepare, table
 
 ROWS, CHUNKS, STRIDE = 4000, 8, 256
 WIDTH, FILTERS, DIMS = 5, 16, 6
@@ -175,7 +175,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, label_col: str = "quality") -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out."""
-    prepare(docs.sparkSession)
+    bounded_batches(prepare(docs.sparkSession))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows of two numbers
@@ -201,13 +201,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [score_block(model, buf, offsets) for _, buf, offsets in blocks(batch.column(1), 1 << 20)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    prepare(docs.sparkSession)
+    bounded_batches(prepare(docs.sparkSession))
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, unchanged, whose score is at least ``least``."""
-    prepare(docs.sparkSession)
+    bounded_batches(prepare(docs.sparkSession))
 
     def run(batches):
         for batch in batches:
