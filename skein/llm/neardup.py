@@ -199,7 +199,6 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         return written(edges.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     labels = spark.createDataFrame([], "id long, component long")
-    links = None
     left = members
     for turn in range(hub_rounds + 1):
         parted = left.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -218,8 +217,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
         else:
             edges = _prefix_pairs(parted, sets, percent)
         new = confirmed(edges)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if new.take(1):
+            # the components so far, as stars, stand for all links before
+            labels = components(new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     one = sketched.select("doc_id", "n_shingles", "s1", "s2").where("n_shingles > 0").join(reps.select("s1", "s2", "rep"), ["s1", "s2"])
     one = one.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
