@@ -1,17 +1,25 @@
 """Benchmark decontamination by template canonicalisation (operator 10, native).
 
 Words of a text are made canonical: numbers, units after a number and names
-(capitalised words inside a sentence) become typed placeholders, other words are
-lower-cased and lose punctuation at their end.  A document is contaminated by a
-benchmark item if they share 13 consecutive canonical words, at least 7 of them
-literal, whose slots agree: equal values of the item stand for equal values of
-the document and the other way round.  So a question whose numbers or names
-were exchanged is found, and a chance run of placeholders is not.
+become typed placeholders, other words are lower-cased and lose punctuation at
+their end.  What is a name cannot be told from one word, so a text has three
+forms: in the first every word that begins with a capital is a name, in the
+second none is, in the third those inside a sentence are.  The first finds
+exchanged names wherever they stand, the second copies in other case, the third
+exchanged names where a sentence begins elsewhere.
+
+A document is contaminated by a benchmark item if they share, in one of the
+forms, 13 consecutive canonical words, at least 7 of them literal, whose slots
+agree: equal values of the item stand for equal values of the document and the
+other way round.  A name that is the same on both sides counts as literal.  So a
+question whose numbers or names were exchanged is found, and a chance run of
+placeholders is not.
 
 Any 13 words hold a whole block of 7 that starts at a multiple of 7.  Thus the
 documents give only these blocks, the benchmark gives every run of 7 words, and
-both are hash-joined; the hits are checked on the words around them.  The
-benchmark side is broadcast only if its count is within ``BROADCAST_ROWS``.
+both are hash-joined, each with the keys of all forms; the hits are checked on
+the words around them.  The benchmark side is broadcast only if its count is
+within ``BROADCAST_ROWS``.
 
 Null and empty texts share nothing; items of fewer than 13 words are matched by
 none.  Items that repeat count by item_id.  A null doc_id keeps its row, and is
@@ -31,52 +39,86 @@ _S = r"\x20\x09-\x0D"
 #: Unit words, singular and plural or symbol.
 UNITS = "km m cm mm kg g mg l ml s h min kilometers kilometres meters metres miles feet inches kilograms grams pounds ounces liters litres hours minutes seconds days weeks months years dollars euros cents percent degrees".split()
 _NUMBER = rf"(?<![^{_S}])[$€£(\[\"'+-]*[0-9][0-9.,:/]*%?[)\].,;:!?\"']*(?![^{_S}])"
-_UNIT = rf"(?<=<num>)([{_S}]+)(?:{'|'.join(UNITS)})[.,;:!?)]*(?![^{_S}])"
+_UNIT = rf"(?<=<num>)([{_S}]+)(?i:{'|'.join(UNITS)})[.,;:!?)]*(?![^{_S}])"
+#: A name inside a sentence, to be marked, and any word that begins with a capital, marked or not.
 _NAME = rf"[\p{{Lu}}](?<=[^.!?{_S}]\x20[\p{{Lu}}])[\p{{L}}'’-]*[.,;:!?)\"']*(?![^{_S}])"
+_CAPITAL = rf"(?<![^{_S}])[^\p{{L}}\p{{N}}{_S}]*\p{{Lu}}[^{_S}]*"
 _TAIL = rf"[.,;:!?\"')\]](?<=[\p{{L}}\p{{N}}>].)[.,;:!?\"')\]]*(?![^{_S}])"
+_MARK = "\x02"
+#: What is not part of a slot's value.
+_OUTER = r"^[(\[\"'“‘«]+|[.,;:!?\"')\]”’»]+$"
+FORMS = 3
 
 
-def canonical(text: Column) -> Column:
-    """The text with as many words as before, each canonical."""
-    c = F.regexp_replace(text, _NUMBER, "<num>")
+def marked(text: Column) -> Column:
+    """The text with as many words as before: numbers and units canonical, no punctuation at ends, names inside a sentence marked."""
+    c = F.regexp_replace(F.translate(text, _MARK, "\x03"), _NUMBER, "<num>")
     c = F.when(F.contains(c, F.lit("<num>")), F.regexp_replace(c, _UNIT, "$1<unit>")).otherwise(c)
-    c = F.regexp_replace(c, _NAME, "<name>")
-    return F.lower(F.regexp_replace(c, _TAIL, ""))
+    return F.regexp_replace(F.regexp_replace(c, _NAME, _MARK + "$0"), _TAIL, "")
+
+
+def forms(c: Column) -> list[Column]:
+    """The words of a marked text in each form: all capitalised words are names, none, those inside a sentence."""
+    inside = F.when(F.contains(c, F.lit(_MARK)), F.regexp_replace(c, rf"{_MARK}[^{_S}]*", "<name>")).otherwise(c)
+    return [_split(F.lower(x)) for x in (F.regexp_replace(c, _CAPITAL, "<name>"), F.translate(c, _MARK, ""), inside)]
 
 
 def _split(text: Column) -> Column:
     return F.split(text, f"[{_S}]+")
 
 
+def _values(text: Column) -> Column:
+    """The words as values of slots."""
+    return F.transform(_split(F.lower(text)), lambda x: F.regexp_replace(x, _OUTER, ""))
+
+
 def _trimmed(text: Column) -> Column:
     return F.trim(F.coalesce(text.cast("string"), F.lit("")), F.lit("\x20\t\n\x0b\x0c\r"))
 
 
+def _in_forms(df: DataFrame, name: str, *others: str) -> DataFrame:
+    """The columns ``others``, and the words of ``text`` in each form as name0, name1, ..."""
+    marks = df.select(*others, marked(F.col("text")).alias("__m"))
+    return marks.select(*others, *(c.alias(f"{name}{v}") for v, c in enumerate(forms(F.col("__m")))))
+
+
+def _keys(name: str, i: str) -> str:
+    """The distinct keys of the block at ``i``."""
+    return f"array_distinct(array({', '.join(f'xxhash64(slice({name}{v}, {i} + 1, {BLOCK}))' for v in range(FORMS))}))"
+
+
+def _same(v: int) -> str:
+    """Some window around a hit is the same in form v, with enough literal words and slots that agree."""
+    dc, ic = f"slice(dc{v}, lead - s + 1, {WINDOW})", f"slice(ic{v}, off - s + 1, {WINDOW})"
+    slots = "('<num>', '<unit>', '<name>')"
+    return f"""exists(sequence(0, least(lead, off, {WINDOW - BLOCK})), s ->
+        lead - s + {WINDOW} <= size(dc{v}) AND off - s + {WINDOW} <= size(ic{v}) AND {dc} = {ic}
+        AND exists(array(transform(sequence(1, {WINDOW}), j -> struct(dc{v}[lead - s + j - 1] AS c, do[lead - s + j - 1] AS d, io[off - s + j - 1] AS i))),
+          w -> size(filter(w, x -> NOT x.c IN {slots} OR (x.c = '<name>' AND x.d = x.i))) >= {LITERAL}
+           AND exists(array(filter(w, x -> x.c IN {slots})),
+             z -> size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.d)))
+              AND size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.i))))))"""
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id), once for each document and item that share a window."""
     docs = docs.select(F.col(id_col).alias("doc_id"), _trimmed(F.col(text_col)).alias("text")).where("doc_id IS NOT NULL")
     items = benchmark.select("item_id", _trimmed(F.col("text")).alias("text")).where("item_id IS NOT NULL")
-    items = written(items.select("item_id", _split(canonical(F.col("text"))).alias("ic"), _split(F.col("text")).alias("io")).where(F.size("ic") >= WINDOW), "items")
-    grams = items.select("item_id", F.explode(F.expr(f"transform(sequence(0, size(ic) - {BLOCK}), i -> struct(xxhash64(slice(ic, i + 1, {BLOCK})) AS h, i AS off))")).alias("x")).select("item_id", "x.h", "x.off")
+    items = written(_in_forms(items.withColumn("io", _values(F.col("text"))), "ic", "item_id", "io").where(F.size("io") >= WINDOW), "items")
+    grams = items.select("item_id", F.explode(F.expr(f"flatten(transform(sequence(0, size(io) - {BLOCK}), i -> transform({_keys('ic', 'i')}, h -> struct(h, i AS off))))")).alias("x")).select("item_id", "x.h", "x.off")
     small = F.broadcast if grams.count() <= BROADCAST_ROWS else (lambda df: df)
-    tokens = docs.select("doc_id", _split(canonical(F.col("text"))).alias("dc"))
-    blocks = tokens.where(F.size("dc") >= WINDOW).select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, size(dc) - {BLOCK}, {BLOCK}), i -> xxhash64(slice(dc, i + 1, {BLOCK})))")).alias("k", "h"))
-    hits = blocks.join(small(grams), "h").select("doc_id", (F.col("k") * BLOCK).alias("pos"), "item_id", "off").distinct()
+    # the size is looked at within the expression: a filter would make the forms twice
+    starts = f"if(size(dc0) >= {WINDOW}, sequence(0, greatest(size(dc0) - {BLOCK}, 0), {BLOCK}), array())"
+    blocks = _in_forms(docs, "dc", "doc_id").select("doc_id", F.explode(F.expr(f"flatten(transform({starts}, i -> transform({_keys('dc', 'i')}, h -> struct(h, i AS pos))))")).alias("x")).select("doc_id", "x.h", "x.pos")
+    hits = blocks.join(small(grams), "h").select("doc_id", "pos", "item_id", "off").distinct()
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "item_id", "off")).alias("hits"))
     reach = WINDOW - BLOCK
-    near = docs.join(by_doc, "doc_id").select("doc_id", _split(canonical(F.col("text"))).alias("dc"), _split(F.col("text")).alias("do"), "hits")
+    near = _in_forms(docs.join(by_doc, "doc_id").withColumn("do", _split(F.lower("text"))), "dc", "doc_id", "do", "hits")
+    part = f"greatest(x.pos - {reach}, 0) + 1, least(x.pos, {reach}) + {WINDOW}"
     near = near.select("doc_id", F.explode(F.expr(f"""transform(hits, x -> struct(x.item_id AS item_id, x.off AS off, least(x.pos, {reach}) AS lead,
-        slice(dc, greatest(x.pos - {reach}, 0) + 1, least(x.pos, {reach}) + {WINDOW}) AS dc, slice(do, greatest(x.pos - {reach}, 0) + 1, least(x.pos, {reach}) + {WINDOW}) AS do))""")).alias("x")).select("doc_id", "x.*")
-    near = near.join(small(items), "item_id")
-    same = f"""exists(sequence(0, least(lead, off, {reach})), s ->
-        lead - s + {WINDOW} <= size(dc) AND off - s + {WINDOW} <= size(ic)
-        AND slice(dc, lead - s + 1, {WINDOW}) = slice(ic, off - s + 1, {WINDOW})
-        AND size(filter(slice(dc, lead - s + 1, {WINDOW}), x -> NOT x IN ('<num>', '<unit>', '<name>'))) >= {LITERAL}
-        AND exists(array(filter(arrays_zip(slice(dc, lead - s + 1, {WINDOW}) AS c, slice(do, lead - s + 1, {WINDOW}) AS d, slice(io, off - s + 1, {WINDOW}) AS i), x -> x.c IN ('<num>', '<unit>', '<name>'))),
-          z -> size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.d)))
-           AND size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.i)))))"""
-    same = same.replace(f"arrays_zip(slice(dc, lead - s + 1, {WINDOW}) AS c, slice(do, lead - s + 1, {WINDOW}) AS d, slice(io, off - s + 1, {WINDOW}) AS i)", f"transform(sequence(1, {WINDOW}), j -> struct(dc[lead - s + j - 1] AS c, do[lead - s + j - 1] AS d, io[off - s + j - 1] AS i))")
-    return near.where(F.expr(same)).select("doc_id", "item_id").distinct()
+        {', '.join(f'slice(dc{v}, {part}) AS dc{v}' for v in range(FORMS))}, slice(do, {part}) AS do))""")).alias("x")).select("doc_id", "x.*")
+    near = near.withColumn("do", F.transform("do", lambda x: F.regexp_replace(x, _OUTER, ""))).join(small(items), "item_id")
+    return near.where(F.expr(" OR ".join(_same(v) for v in range(FORMS)))).select("doc_id", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

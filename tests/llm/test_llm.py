@@ -239,6 +239,18 @@ def test_decontamination_finds_every_passage(spark):
             assert d["doc_id"] in got
 
 
+def test_decontamination_of_names_wherever_they_stand(spark):
+    item = "Anna has 3 apples. Ben has 5 pears. Carl has 2 plums. How many pieces of fruit do they have together?"
+    other = "Zoe has 4 apples. Yann has 7 pears. Xenia has 9 plums. How many pieces of fruit do they have together?"
+    mixed = "Zoe has 4 apples. Zoe has 7 pears. Xenia has 9 plums. How few bits of food might all of us get here?"  # one name for two
+    dense = "we met Ada Byron and Alan Turing with Grace Hopper and Kurt Goedel then Emmy Noether and Max Born at noon"
+    docs = {0: other, 1: dense.replace(" ", "\n"), 2: dense.lower(), 3: other.replace(". ", ".\n"), 4: other.replace(". ", ".  "), 5: item.lower(), 6: mixed, 7: dense.upper(), 8: "So: " + other.replace("4", "44").replace(" ", "\t")}
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, dense)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()}
+    assert found == {(0, 0), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (7, 1), (8, 0)}
+
+
 # --- html
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
