@@ -11,18 +11,20 @@ exchanged names where a sentence begins elsewhere.
 A document is contaminated by a benchmark item if they share, in one of the
 forms, 13 consecutive canonical words, at least 7 of them literal, whose slots
 agree: equal values of the item stand for equal values of the document and the
-other way round.  A name that is the same on both sides counts as literal.  So a
-question whose numbers or names were exchanged is found, and a chance run of
-placeholders is not.
+other way round.  A name that is the same on both sides counts as literal, and
+where all 13 words are the same, as in a table of numbers, none need be literal.
+So a question whose numbers or names were exchanged is found, and a chance run of
+placeholders is not.  An item of fewer than 13 words is its own window: all its
+words in a row, 7 of 13 of them literal or all the same.
 
 Any 13 words hold a whole block of 7 that starts at a multiple of 7.  Thus the
 documents give only these blocks, the benchmark gives every run of 7 words, and
 both are hash-joined, each with the keys of all forms; the hits are checked on
-the words around them.  The benchmark side is broadcast only if its count is
-within ``BROADCAST_ROWS``.
+the words around them.  For each length of shorter items that occurs, the
+documents give every run of so many words too.  The benchmark side is broadcast
+only if its count is within ``BROADCAST_ROWS``.
 
-Null and empty texts share nothing; items of fewer than 13 words are matched by
-none.  Items that repeat count by item_id.  A null doc_id keeps its row, and is
+Null and empty texts share nothing.  Items that repeat count by item_id.  A null doc_id keeps its row, and is
 not contaminated.
 """
 
@@ -82,19 +84,26 @@ def _in_forms(df: DataFrame, name: str, *others: str) -> DataFrame:
     return marks.select(*others, *(c.alias(f"{name}{v}") for v, c in enumerate(forms(F.col("__m")))))
 
 
-def _keys(name: str, i: str) -> str:
-    """The distinct keys of the block at ``i``."""
-    return f"array_distinct(array({', '.join(f'xxhash64(slice({name}{v}, {i} + 1, {BLOCK}))' for v in range(FORMS))}))"
+def _keys(name: str, i: str, words: int = BLOCK) -> str:
+    """The distinct keys of the run of words at ``i``."""
+    return f"array_distinct(array({', '.join(f'xxhash64(slice({name}{v}, {i} + 1, {words}))' for v in range(FORMS))}))"
+
+
+def _runs(words: int, least: int, step: int) -> str:
+    """The keys and places of a document's runs of so many words, if it has ``least`` words."""
+    starts = f"if(size(dc0) >= {least}, sequence(0, greatest(size(dc0) - {words}, 0), {step}), array())"
+    return f"flatten(transform({starts}, i -> transform({_keys('dc', 'i', words)}, h -> struct(h, i AS pos))))"
 
 
 def _same(v: int) -> str:
     """Some window around a hit is the same in form v, with enough literal words and slots that agree."""
-    dc, ic = f"slice(dc{v}, lead - s + 1, {WINDOW})", f"slice(ic{v}, off - s + 1, {WINDOW})"
+    n = f"least(size(io), {WINDOW})"
+    dc, ic = f"slice(dc{v}, lead - s + 1, {n})", f"slice(ic{v}, off - s + 1, {n})"
     slots = "('<num>', '<unit>', '<name>')"
     return f"""exists(sequence(0, least(lead, off, {WINDOW - BLOCK})), s ->
-        lead - s + {WINDOW} <= size(dc{v}) AND off - s + {WINDOW} <= size(ic{v}) AND {dc} = {ic}
-        AND exists(array(transform(sequence(1, {WINDOW}), j -> struct(dc{v}[lead - s + j - 1] AS c, do[lead - s + j - 1] AS d, io[off - s + j - 1] AS i))),
-          w -> size(filter(w, x -> NOT x.c IN {slots} OR (x.c = '<name>' AND x.d = x.i))) >= {LITERAL}
+        lead - s + {n} <= size(dc{v}) AND off - s + {n} <= size(ic{v}) AND {dc} = {ic}
+        AND exists(array(transform(sequence(1, {n}), j -> struct(dc{v}[lead - s + j - 1] AS c, do[lead - s + j - 1] AS d, io[off - s + j - 1] AS i))),
+          w -> (size(filter(w, x -> NOT x.c IN {slots} OR (x.c = '<name>' AND x.d = x.i))) * {WINDOW} >= {LITERAL} * {n} OR forall(w, x -> x.d = x.i))
            AND exists(array(filter(w, x -> x.c IN {slots})),
              z -> size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.d)))
               AND size(array_distinct(transform(z, x -> struct(x.d, x.i)))) = size(array_distinct(transform(z, x -> x.i))))))"""
@@ -103,13 +112,18 @@ def _same(v: int) -> str:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id), once for each document and item that share a window."""
     docs = docs.select(F.col(id_col).alias("doc_id"), _trimmed(F.col(text_col)).alias("text")).where("doc_id IS NOT NULL")
-    items = benchmark.select("item_id", _trimmed(F.col("text")).alias("text")).where("item_id IS NOT NULL")
-    items = written(_in_forms(items.withColumn("io", _values(F.col("text"))), "ic", "item_id", "io").where(F.size("io") >= WINDOW), "items")
-    grams = items.select("item_id", F.explode(F.expr(f"flatten(transform(sequence(0, size(io) - {BLOCK}), i -> transform({_keys('ic', 'i')}, h -> struct(h, i AS off))))")).alias("x")).select("item_id", "x.h", "x.off")
+    items = benchmark.select("item_id", _trimmed(F.col("text")).alias("text")).where("item_id IS NOT NULL AND text <> ''")
+    items = written(_in_forms(items.withColumn("io", _values(F.col("text"))), "ic", "item_id", "io"), "items")
+    lengths = sorted(n for (n,) in items.select(F.size("io")).distinct().collect() if n < WINDOW)
+    grams = items.where(F.size("io") >= WINDOW).select("item_id", F.explode(F.expr(f"flatten(transform(sequence(0, size(io) - {BLOCK}), i -> transform({_keys('ic', 'i')}, h -> struct(h, i AS off))))")).alias("x")).select("item_id", "x.h", "x.off")
+    # a short item that is placeholders alone with its names exchanged would hit everywhere, and is matched by equal words only
+    short = [f"if({v == 1} OR exists(ic{v}, x -> x NOT IN ('<num>', '<unit>', '<name>')), xxhash64(ic{v}), null)" for v in range(FORMS)]
+    short = items.where(F.size("io") < WINDOW).select("item_id", F.explode(F.expr(f"array_distinct(array({', '.join(short)}))")).alias("h"), F.lit(0).alias("off"))
+    grams = grams.unionByName(short.where("h IS NOT NULL"))
     small = F.broadcast if grams.count() <= BROADCAST_ROWS else (lambda df: df)
     # the size is looked at within the expression: a filter would make the forms twice
-    starts = f"if(size(dc0) >= {WINDOW}, sequence(0, greatest(size(dc0) - {BLOCK}, 0), {BLOCK}), array())"
-    blocks = _in_forms(docs, "dc", "doc_id").select("doc_id", F.explode(F.expr(f"flatten(transform({starts}, i -> transform({_keys('dc', 'i')}, h -> struct(h, i AS pos))))")).alias("x")).select("doc_id", "x.h", "x.pos")
+    runs = [_runs(BLOCK, WINDOW, BLOCK), *(_runs(n, n, 1) for n in lengths)]
+    blocks = _in_forms(docs, "dc", "doc_id").select("doc_id", F.explode(F.expr(f"concat({', '.join(runs)})")).alias("x")).select("doc_id", "x.h", "x.pos")
     hits = blocks.join(small(grams), "h").select("doc_id", "pos", "item_id", "off").distinct()
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "item_id", "off")).alias("hits"))
     reach = WINDOW - BLOCK

@@ -251,6 +251,28 @@ def test_decontamination_of_names_wherever_they_stand(spark):
     assert found == {(0, 0), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (7, 1), (8, 0)}
 
 
+def test_decontamination_of_short_items_and_number_tables(spark):
+    numbers = " ".join(str(i * i % 97) for i in range(30))
+    items = {0: "What is the capital of Australia?", 1: numbers, 2: "Paris", 3: "", 4: "Add 12 and 30, then halve the sum of both."}
+    docs = {
+        0: "What is the capital of Australia?",
+        1: "some words before. what is the\ncapital of Australia? " + P1,
+        2: "What is the capital of France?",
+        3: "What is the of Australia",
+        4: "Table: " + numbers + " end",
+        5: " ".join(str(i * i % 89 + 1) for i in range(30)),
+        6: "We saw Paris.",
+        7: P1 + " Add 14 and 36, then halve the sum of both.",
+        8: "",
+        9: "Rome and Berlin",
+    }
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert found == {(0, 0), (1, 0), (2, 0), (4, 1), (6, 2), (7, 4)}
+    left = decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {3, 5, 8, 9}
+
+
 # --- html
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
