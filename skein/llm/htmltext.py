@@ -7,8 +7,10 @@ union-free regular expression, its wrapper: equal tokens stay, text becomes a
 slot, a stretch that only one side has becomes optional, repeated groups are
 aligned inside.  The wrapper's slots are then told apart by where they stand:
 within the article (or the main part, or else the body) and outside of menus,
-headers, footers, asides, forms, notices, adverts and comments.  A page's main
-text is what it holds in these slots.
+headers, footers, asides, forms, notices, adverts and comments.  Text that is the
+same, at the same path, on all of a host's different pages that have the path is
+template and no slot, if these are at least ``SEEN``.  A page's main text is what
+it holds in these slots, of the first preference with text that is not template.
 
 Pages with equal folded streams count once, so a host with most of the pages
 brings few streams; these are merged in two levels (hash groups, then hosts).
@@ -20,12 +22,13 @@ group.  Repeated pages each give a row.
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm._common import prepare, table, written
@@ -164,10 +167,12 @@ def fold(nodes: list, longest: int = 24) -> list:
             return nodes
 
 
-def stream(page: str) -> list:
-    """The folded token stream; inline elements are part of their text."""
+def stream(page: str, found: set | None = None) -> list:
+    """The folded token stream; inline elements are part of their text.  The (path, text) of its slots are added to ``found``."""
     nodes: list = []
     for where, what in slots(page):
+        if where is not None and found is not None:
+            found.add((_inline_free(where), what))
         if where is not None:
             nodes.append("#" + _inline_free(where))
         elif what.lstrip("/").split(".")[0] in BLOCK:
@@ -264,16 +269,25 @@ def main_paths(wrapper: list) -> list[list[str]]:
     return [within(lambda k: k[0] == "article"), within(lambda k: k[0] == "main" or "main" in k[1:]), within(lambda k: bool({"article", "content"} & set(k[1:]))), sorted(good)]
 
 
-def main_text(page: str | None, paths: list[frozenset[str]]) -> str:
-    """What the page holds in the slots of the first preference that it has any text in; a host's pages need not all be articles."""
+def main_text(page: str | None, paths: list[frozenset[str]], template: frozenset[int] = frozenset()) -> str:
+    """What the page holds in the slots of the first preference that it has any text in; a host's pages need not all be articles.
+
+    Template text is left out, but where the page has no other text in any slot.
+    """
     found = [(_inline_free(where), text) for where, text in slots(page or "") if where is not None]
-    for wanted in paths:
-        texts = [text for where, text in found if where in wanted]
-        if texts:
-            return "\n".join(texts)
+    own = [(where, text) for where, text in found if _number(where, text) not in template] if template else found
+    for some in (own, found):
+        for wanted in paths:
+            texts = [text for where, text in some if where in wanted]
+            if texts:
+                return "\n".join(texts)
     return ""
 
 
+def _number(*what: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(what).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", url or "")
     return m[1].lower() if m else ""
@@ -288,19 +302,47 @@ def _fold_all(pdf, keys: list[str]):
     return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), json.dumps(wrapper)]], columns=[*keys, "nodes"])
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, nodes: the wrapper of each host as JSON."""
+def parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, nodes, page, slots: each page's stream as JSON, and numbers of its html and of the path, and path and text, of its slots."""
     prepare(pages.sparkSession)
 
     def streams(batches):
         for batch in batches:
-            hosts = [_host(u) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(stream(h or "")) for h in batch.column(1).to_pylist()], pa.string())], names=["host", "nodes"])
+            out: list = [[], [], [], []]
+            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: set = set()
+                nodes = json.dumps(stream(page or "", found))
+                row = (_host(url), nodes, _number(page or ""), [{"path": _number(path), "text": _number(path, text)} for path, text in found])
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["host", "nodes", "page", "slots"])
+
+    return pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(streams, "host string, nodes string, page long, slots array<struct<path:long,text:long>>")
+
 
-    rows = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(streams, "host string, nodes string").distinct()
+SEEN = 5
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template: of parsed pages, the numbers of text that all different pages with its path have in common."""
+    rows = pages.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.path", "s.text")
+    # a row without text counts the pages that have the path
+    rows = rows.select("host", "page", "path", F.explode(F.array(F.col("text"), F.lit(None).cast("long"))).alias("text")).distinct()
+    counts = rows.groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    having = F.max(F.when(F.col("text").isNull(), F.col("n"))).over(Window.partitionBy("host", "path"))
+    counts = counts.withColumn("having", having).where("text IS NOT NULL AND n = having")
+    return counts.groupBy("host").agg(F.collect_set("text").alias("template"))
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, nodes, template: the wrapper of each host as JSON, and its template text."""
+    pages = written(parsed(pages, url_col, html_col), "streams")
+    rows = pages.select("host", "nodes").distinct()
     rows = rows.withColumn("part", F.pmod(F.xxhash64("nodes"), F.lit(64)))
     rows = rows.groupBy("host", "part").applyInPandas(lambda pdf: _fold_all(pdf, ["host", "part"]), "host string, part long, nodes string")
-    return rows.groupBy("host").applyInPandas(lambda pdf: _fold_all(pdf[["host", "nodes"]], ["host"]), "host string, nodes string")
+    rows = rows.groupBy("host").applyInPandas(lambda pdf: _fold_all(pdf[["host", "nodes"]], ["host"]), "host string, nodes string")
+    return rows.join(templates(pages), "host", "left")
 
 
 SMALL_MB = 16
@@ -309,22 +351,22 @@ SMALL_MB = 16
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text for each page."""
     found = written(wrappers(pages, url_col, html_col), "wrappers")
-    size = found.agg(F.sum(F.length("nodes"))).first()[0] or 0
+    size = found.agg(F.sum(F.length("nodes") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
     if size <= SMALL_MB << 20:
         found = F.broadcast(found)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(found, "host", "left").select("page_id", "url", "html", "nodes")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(found, "host", "left").select("page_id", "url", "html", "nodes", "template")
 
     def run(batches):
         known: dict[str, list[frozenset]] = {}
         for batch in batches:
             out = []
-            for page, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for page, nodes, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if nodes not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[nodes] = [frozenset(p) for p in main_paths(json.loads(nodes) if nodes else stream(page or ""))]
-                out.append(main_text(page, known[nodes]))
+                out.append(main_text(page, known[nodes], frozenset(template or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)[id_col]}, url string, text string")

@@ -294,6 +294,17 @@ def test_html_of_a_host_with_several_layouts(spark):
     assert {r["page_id"]: r["text"] for r in htmltext.extract(docs).collect()} == {0: "a", 1: "b", 2: "c", 3: ""}
 
 
+def test_html_leaves_out_text_that_all_pages_of_a_host_share(spark):
+    page = '<body><article><p>own {0}</p><div class="werbung">Jetzt kaufen</div><p>also {0}</p><p>By our staff</p></article></body>'
+    rows = [(i, "http://h.example/p", page.format(i)) for i in range(6)]
+    rows += [(6, "http://h.example/q", "<body><p>other layout</p></body>")]
+    rows += [(10 + i, "http://copies.example/p", page.format(7)) for i in range(6)]  # one page many times tells nothing
+    rows += [(20, "http://one.example/p", page.format(8))]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "own {0}\nJetzt kaufen\nalso {0}\nBy our staff"
+    assert got == {i: f"own {i}\nalso {i}" for i in range(6)} | {6: "other layout", 20: whole.format(8)} | {10 + i: whole.format(7) for i in range(6)}
+
+
 def test_html_on_the_pages(spark):
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist()}
     for r in htmltext.query(spark, DATA).collect():
