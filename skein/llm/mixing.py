@@ -9,6 +9,12 @@ is less than one block away from its share.  The schedule repeats each period,
 so only one period is simulated (a SQL ``aggregate`` over P slots); the slot of
 every block, and the place of every document, follow by arithmetic.
 
+Given weights are taken as exact decimals: where the least whole numbers in their
+proportion sum to at most ``EXACT_MOST``, these are the shares and their sum is the
+period, and no rounding adds up over periods.  Else, and without weights, shares
+are rounded to about ``PERIOD``, as in the SQL.  Sources that weigh nothing come
+after all others, in equal shares.
+
 A source that has run out leaves its slots to the others, which keep their
 proportions.  All rows are kept.  A null source is a source of its own; rows
 with the same id keep together in an order of no account.  Only the number of
@@ -18,7 +24,10 @@ taken in 4096 hash groups, so that a source with most of the rows is split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm._common import table
@@ -26,6 +35,7 @@ from skein.llm._common import table
 BLOCK = 16
 PERIOD = 512
 SOURCES_MOST = 10_000
+EXACT_MOST = 2048
 
 _EDF = """
 aggregate(sequence(0, p - 1),
@@ -43,7 +53,7 @@ def shares(counts: DataFrame, weights: dict | None, period: int, alpha: float) -
     """(skey, n, c): whole shares of about ``period``; at least one for each source.
 
     Without weights a source weighs its number of documents to the power alpha.
-    Of given weights, a source that is not named weighs nothing and gets the least share.
+    Of given weights, a source that is not named weighs nothing; ``mix`` keeps such sources apart.
     """
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(alpha))
@@ -69,16 +79,57 @@ def schedule(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return slots.withColumn("j", F.expr("pre[k]")).drop("k")
 
 
+def _whole(weights: dict) -> dict[str, int]:
+    """The least whole numbers in the proportion of the weights."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    scale = math.lcm(*(v.denominator for v in exact.values()))
+    whole = {k: int(v * scale) for k, v in exact.items()}
+    common = math.gcd(*whole.values())
+    return {k: v // common for k, v in whole.items()}
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = 0.5, id_col: str = "doc_id", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
     """All rows and columns, and block (within the source), slot (virtual) and position (from 0, over all) with ``prefix``.
 
     A column of the input that has one of these three names is replaced.
     """
+    if weights is not None:
+        return _mix_given(docs, weights, block, period, id_col, source_col, prefix)
+    return _mix(docs, None, block, period, alpha, id_col, source_col, prefix)
+
+
+def _key(source_col: str) -> Column:
+    return F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
+
+
+def _mix_given(docs: DataFrame, weights: dict, block: int, period: int, id_col: str, source_col: str, prefix: str) -> DataFrame:
+    """The sources that weigh something, and after them the others."""
+    for name in ("block", "slot", "position"):
+        docs = docs.drop(prefix + name)
+    named = {str(k): v for k, v in weights.items() if v > 0}
+    key = _key(source_col)
+    present = {k: named[k] for (k,) in docs.select(key.alias("k")).where(F.col("k").isin(list(named))).distinct().collect()}
+    if not present:
+        return _mix(docs, None, block, period, 0.0, id_col, source_col, prefix)
+    whole = _whole(present)
+    if sum(whole.values()) <= EXACT_MOST:
+        present, period = whole, sum(whole.values())
+    heavy = key.isin(list(present))
+    first = _mix(docs.where(heavy), present, block, period, 1.0, id_col, source_col, prefix)
+    rest = docs.where(~heavy)
+    if rest.isEmpty():
+        return first
+    rows, slots = first.agg(F.count("*"), F.max(prefix + "slot") + 1).first()
+    rest = _mix(rest, None, block, period, 0.0, id_col, source_col, prefix)
+    return first.unionByName(rest.withColumn(prefix + "slot", F.col(prefix + "slot") + slots).withColumn(prefix + "position", F.col(prefix + "position") + rows))
+
+
+def _mix(docs: DataFrame, weights: dict | None, block: int, period: int, alpha: float, id_col: str, source_col: str, prefix: str) -> DataFrame:
     spark = docs.sparkSession
     for name in ("block", "slot", "position"):
         docs = docs.drop(prefix + name)
     names = docs.columns
-    key = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
+    key = _key(source_col)
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("skey"), h.alias("h"), F.col(id_col).alias("id")).withColumn("g", F.substring("h", 1, 3))
     groups = docs.select(key.alias("skey"), F.substring(h, 1, 3).alias("g")).groupBy("skey", "g").agg(F.count("*").alias("m"))

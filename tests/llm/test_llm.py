@@ -90,6 +90,18 @@ def test_mix_keeps_rows_and_stays_within_a_block(spark):
             assert abs(count[k] - w * t) < 1
 
 
+def test_mix_to_exact_weights_and_nothing_last(spark):
+    rows = [(i, "abc"[i % 3]) for i in range(6000)] + [(6000 + i, f"z{i % 40}") for i in range(200)] + [(7000, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.001, "b": 0.3, "c": 0.699, "absent": 7, "z1": 0}, block=1).toPandas().sort_values("mix_position")
+    assert got.mix_position.tolist() == list(range(6201)) and got.mix_slot.is_monotonic_increasing
+    assert sorted(got.source[:6000].unique()) == ["a", "b", "c"]
+    count = {"a": 0, "b": 0, "c": 0}
+    for t, s in enumerate(got.source[:2800], 1):
+        count[s] += 1
+        for k, w in (("a", 0.001), ("b", 0.3), ("c", 0.699)):
+            assert abs(count[k] - w * t) < 1
+
+
 # --- suffix array, substring
 
 
