@@ -44,7 +44,16 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = shared_path(spark, name)
     with freed_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.skein_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no frame still to be run reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.skein_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

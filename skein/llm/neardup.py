@@ -6,31 +6,33 @@ name a bin and whose minimum fills it; empty bins borrow from others in a random
 order of their own (optimal densification).  Bands of the bins give buckets.
 
 Documents with equal sets are merged first, so that a group of exact copies is
-one representative.  In each bucket a star of candidate edges joins one hub to
-the rest; the hub is the member that shares most buckets.  Every edge is
-confirmed on the full sets.  A star can miss a link between two members that
-are both unlike the hub, so a second star is drawn, with the next hub, in the
-buckets whose members are still in different components.  Documents that then
-still share two or more such buckets are compared across components by an exact
-prefix filter: of sets in order of rising shingle frequency, alike ones share one
-of the first shingles (a fifth of them and one).  There is no cap on buckets or
-partners.  With 32 bands of 4 rows, a pair at the threshold of 0.8 meets in fewer
-than two with a chance of 1e-6.
-
-Null or wordless texts have an empty set and link with nothing.  Repeated ids
-are one document only if their texts agree; with differing texts their rows
-share a component if either links.
+one representative.  In each bucket a star of candidate edges joins one hub, the
+least id, to the rest, and every edge is confirmed on the full sets.  A star can
+miss a link between two members that are both unlike the hub.  So representatives
+that share two or more buckets, apart from hubs, whose members are still in
+different components are compared across components by an exact prefix filter: of
+sets in order of rising shingle frequency, alike ones share one of the first
+shingles (a fifth of them and one).  There is no cap on buckets or partners.  With
+32 bands of 4 rows, a pair at the threshold of 0.8 meets in fewer than two with a
+chance of 1e-6.
+
+Null or wordless texts have an empty set and link with nothing; an empty table
+gives no rows.  Long texts are worked through in blocks.  Rows that repeat an id
+are one document: they share a component, and each of their texts links.  Rows
+without an id are left out.  Only the two columns named are read, so others may
+have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm._bytes import BASE, SLAB, U64, blocks, gram_hashes, list_array, longs, mix, span_hashes, words
-from skein.llm._common import arrow_batches, id_text, prepare, table, written
+from skein.llm._common import arrow_batches, id_text, prepare, removed, table, written
 from skein.llm._graph import components
 
 BINS, ROWS = 128, 4
@@ -112,13 +114,17 @@ def _sketch(k: int):
 
 
 def _sets(k: int):
+    """(doc_id, text) to rep, one (a hash of the set) and set (its shingles in order, as bytes)."""
+
     def run(batches):
         for batch in batches:
             lo = 0
             for at, grams, n in shingle_sets(batch.column(1), k):
                 cuts = np.searchsorted(at, np.arange(n + 1))
                 blobs = [grams[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(blobs, pa.binary())], names=["rep", "set"])
+                one = np.zeros(n, U64)
+                np.add.at(one, at, mix(grams))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(longs(one)), pa.array(blobs, pa.binary())], names=["rep", "one", "set"])
                 lo += n
 
     return run
@@ -146,85 +152,77 @@ def _confirm(percent: int):
     return run
 
 
-def _prefix_pairs(parted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs across components, of documents in two buckets or more of ``parted``, that share a shingle of their prefixes."""
+def _shingles(batches):
+    """(rep, component, one, set) to a row for each shingle; rows of one id may have several sets, which ``one`` tells apart."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+        flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+        row = pa.array(np.repeat(np.arange(len(size)), size))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), batch.column(2).take(row), pa.array(np.repeat(size, size), pa.int64()), pa.array(flat)], names=["rep", "component", "one", "size", "shingle"])
 
-    def shingles(batches):
-        for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
-            flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), batch.column(1).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.repeat(size, size)), pa.array(flat)], names=["rep", "component", "size", "shingle"])
-
-    wanted = parted.groupBy("rep", "component").agg(F.count("*").alias("n")).where("n > 1").select("rep", "component")
-    rows = written(wanted.join(sets, "rep").select("rep", "component", "set").mapInArrow(shingles, "rep long, component long, size long, shingle long"), "shingles")
-    common = written(rows.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
-    order = Window.partitionBy("rep").orderBy("df", "shingle")
-    prefix = rows.join(common, "shingle").select("*", F.row_number().over(order).alias("at")).where(f"at <= size - ceil({percent} * size / 100.0D - 1e-9D) + 1").select("rep", "component", "size", "shingle", "at")
+
+def _prefix_pairs(wanted: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): pairs of ``wanted`` (rep, component) across components that share a shingle of their prefixes; and the tables that this reads."""
+    rows = written(wanted.join(sets, "rep").select("rep", "component", "one", "set").mapInArrow(_shingles, "rep long, component long, one long, size long, shingle long"), "shingles")
+    common = written(rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")), "frequencies")
+    order = Window.partitionBy("rep", "one").orderBy("df", "shingle")
+    prefix = rows.join(common, "shingle").select("*", F.row_number().over(order).alias("at")).where(f"mixed AND at <= size - ceil({percent} * size / 100.0D - 1e-9D) + 1").select("rep", "component", "size", "shingle", "at")
     prefix = written(prefix, "prefixes")
-    mixed = written(prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "mixed-shingles")
-    prefix = written(prefix.join(mixed, "shingle"), "mixed-prefixes")
     x, y = (prefix.select("shingle", F.col("rep").alias(n), F.col("component").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("at").alias(f"at{n}")) for n in "ab")
     # what follows the first shingle that two sets share bounds how many they can share
     enough = f"(1 + least(sa - ata, sb - atb)) * {100 + percent} >= {percent} * (sa + sb)"
-    return x.join(y, "shingle").where(f"a < b AND ca <> cb AND {enough}").select("a", "b").distinct()
+    return x.join(y, "shingle").where(f"a < b AND ca <> cb AND {enough}").select("a", "b").distinct(), [rows, common, prefix]
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     with arrow_batches(prepare(docs.sparkSession)):
-        return _near_duplicates(docs, k, percent, id_col, text_col, hub_rounds)
+        return _near_duplicates(docs, k, percent, id_col, text_col)
 
 
-def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, hub_rounds: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     sketched = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches")
     some = sketched.where("n_shingles > 0")
-    reps = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    reps = written(reps, "representatives")
-    buckets = reps.select("rep", F.explode("keys").alias("bucket")).distinct()
-    # a written count or hub, unlike one still to be aggregated, lets a join on it split the rows of a large bucket
-    buckets = written(buckets, "all-buckets")
-    sizes = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = written(buckets.join(sizes, "bucket"), "buckets")
-
-    degree = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = written(members.select("bucket", "rep").join(degree, "rep"), "members")
-    wanted = members.select("rep").distinct()
-    sets = written(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(k), "rep long, set binary"), "sets").dropDuplicates(["rep"])
-    sets = written(sets, "set-of")
+    # equal sets are one representative; a written table, unlike one still to be aggregated, lets a join on it split a large group
+    reps = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "representatives")
+    of = some.select("doc_id", "n_shingles", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep")
+    of = written(of.unionByName(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "of")
+    # rows of one id with different sets tie the representatives of these
+    tied = written(of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("doc_id", "b"), "tied")
+    ties = of.join(tied, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+    buckets = reps.select("rep", F.explode("keys").alias("bucket"))
+    hubs = written(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    members = written(buckets.join(hubs, "bucket").where("rep <> hub"), "members")
+    removed(sketched, reps)
+    wanted = members.select("rep").unionByName(hubs.select(F.col("hub").alias("rep"))).distinct()
+    sets = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(k), "rep long, one long, set binary")
+    sets = written(sets.dropDuplicates(["rep", "one"]), "sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         edges = edges.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
         return written(edges.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    labels = spark.createDataFrame([], "id long, component long")
-    left = members
-    for turn in range(hub_rounds + 1):
-        parted = left.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if turn:
-            mixed = parted.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            mixed = written(mixed, "mixed")
-            parted = written(parted.join(mixed, "bucket"), "left")
-            if not parted.take(1):
-                break
-        if turn < hub_rounds:
-            hubs = parted.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "component")).alias("h"))
-            hubs = written(hubs.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.component").alias("hub_component")), "hubs")
-            parted = parted.join(hubs, "bucket")
-            edges = parted.where("component <> hub_component").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-            left = written(parted.where("rep <> hub").select("bucket", "rep", "weight"), "next") if turn else parted.where("rep <> hub").select("bucket", "rep", "weight")
-        else:
-            edges = _prefix_pairs(parted, sets, percent)
-        new = confirmed(edges)
+    links = confirmed(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    labels = components(links.unionByName(ties) if tied.take(1) else links)
+    # where only the hub and one other meet, nothing is left to compare
+    parted = members.where("n > 2").select("bucket", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parted = written(parted, "parted")
+    mixed = written(parted.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "mixed")
+    left = parted.join(mixed, "bucket").groupBy("rep", "component").agg(F.count("*").alias("n")).where("n > 1").select("rep", "component")
+    left = written(left, "left")
+    if left.take(1):
+        pairs, read = _prefix_pairs(left, sets, percent)
+        new = confirmed(pairs)
+        removed(*read)
         if new.take(1):
             # the components so far, as stars, stand for all links before
             labels = components(new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-
-    one = sketched.select("doc_id", "n_shingles", "s1", "s2").where("n_shingles > 0").join(reps.select("s1", "s2", "rep"), ["s1", "s2"])
-    one = one.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return one.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    removed(hubs, members, sets, parted, mixed, left)
+    out = of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
