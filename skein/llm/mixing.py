@@ -17,9 +17,12 @@ after all others, in equal shares.
 
 A source that has run out leaves its slots to the others, which keep their
 proportions.  All rows are kept.  A null source is a source of its own; rows
-with the same id keep together in an order of no account.  Only the number of
-sources and the period bound what is not distributed; ranks within a source are
-taken in 4096 hash groups, so that a source with most of the rows is split.
+with the same id keep together in an order of no account; a null id counts as an
+empty one.  An empty table gives no rows.  Texts, whatever their length, and all
+other columns are only carried along; those named as the three results are replaced.
+Only the number of sources and the period bound what is not distributed.  Ranks
+within a source are taken in 4096 hash groups, so that a source with most of the
+rows is split, and positions are sums over ranges of slots.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm._common import table
+from skein.llm._common import table, written
 
 BLOCK = 16
 PERIOD = 512
-SOURCES_MOST = 10_000
+PLAN_MOST = 100_000
 EXACT_MOST = 2048
 
 _EDF = """
@@ -65,18 +68,24 @@ def shares(counts: DataFrame, weights: dict | None, period: int, alpha: float) -
     return counts.withColumn("w", w).select("skey", "n", F.greatest(F.lit(1), F.coalesce(share, F.lit(1))).alias("c"))
 
 
-def schedule(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """(skey, j, slot, p, ci, ns, cs, pre): the j-th block of a source within the period goes to ``slot``.
-
-    ns, cs: documents and shares of all sources; pre: blocks of each that come before ``slot``.
-    """
+def schedule(sources: DataFrame) -> DataFrame:
+    """(skey, j, slot, p, share, n): of a period of p slots, the j-th block of a source with so many shares and documents goes to ``slot``."""
     one = sources.agg(F.array_sort(F.collect_list(F.struct("skey", "n", "c"))).alias("s")).where(F.size("s") > 0)
-    one = one.select(F.col("s.skey").alias("keys"), F.col("s.n").alias("ns"), F.expr("transform(s.c, x -> cast(x AS long))").alias("cs"))
-    one = one.withColumn("c", F.col("cs")).withColumn("p", F.expr("aggregate(cs, 0L, (a, x) -> a + x)")).withColumn("o", F.expr(_EDF))
-    slots = one.select("keys", "ns", "cs", "p", "o", F.posexplode("o").alias("slot", "k"))
-    pre = F.expr("transform(keys, (x, i) -> cast(size(filter(slice(o, 1, slot), y -> y = i)) AS long))")
-    slots = slots.select(F.expr("keys[k]").alias("skey"), "slot", "p", "ns", "cs", F.expr("cs[k]").alias("ci"), pre.alias("pre"), "k")
-    return slots.withColumn("j", F.expr("pre[k]")).drop("k")
+    one = one.select("s", F.expr("transform(s.c, x -> cast(x AS long))").alias("c")).withColumn("p", F.expr("aggregate(c, 0L, (a, x) -> a + x)"))
+    slots = one.select("s", "p", F.posexplode(F.expr(_EDF)).alias("slot", "k")).select("k", "slot", "p", F.expr("s[k]").alias("x"))
+    j = F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1
+    return slots.select(F.col("x.skey").alias("skey"), j.cast("long").alias("j"), "slot", "p", F.col("x.c").cast("long").alias("share"), F.col("x.n").alias("n"))
+
+
+def _ahead(blocks: DataFrame) -> DataFrame:
+    """(slot, ahead): how many documents come before each block (slot, size), by sums of ranges of slots."""
+    dealt = written(blocks.repartitionByRange("slot").withColumn("part", F.spark_partition_id()), "blocks")
+    sums = dealt.groupBy("part").agg(F.sum("size").alias("m"))  # a row for each task
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.select("part", "slot", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("here")).join(F.broadcast(sums), "part")
+    return rows.select("slot", (F.col("before") + F.col("here")).alias("ahead"))
 
 
 def _whole(weights: dict) -> dict[str, int]:
@@ -125,7 +134,6 @@ def _mix_given(docs: DataFrame, weights: dict, block: int, period: int, id_col:
 
 
 def _mix(docs: DataFrame, weights: dict | None, block: int, period: int, alpha: float, id_col: str, source_col: str, prefix: str) -> DataFrame:
-    spark = docs.sparkSession
     for name in ("block", "slot", "position"):
         docs = docs.drop(prefix + name)
     names = docs.columns
@@ -134,20 +142,20 @@ def _mix(docs: DataFrame, weights: dict | None, block: int, period: int, alpha:
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("skey"), h.alias("h"), F.col(id_col).alias("id")).withColumn("g", F.substring("h", 1, 3))
     groups = docs.select(key.alias("skey"), F.substring(h, 1, 3).alias("g")).groupBy("skey", "g").agg(F.count("*").alias("m"))
     sources = shares(groups.groupBy("skey").agg(F.sum("m").alias("n")), weights, period, alpha)
-    plan = schedule(spark, sources)
-    # period + sources rows; broadcast only while the sources are few
-    few = groups.select("skey").distinct().limit(SOURCES_MOST + 1).count() <= SOURCES_MOST
-    small = F.broadcast if few else (lambda df: df)
+    plan = written(schedule(sources), "schedule")
+    # period + sources rows; broadcast only while they are few
+    small = F.broadcast if plan.count() <= PLAN_MOST else (lambda df: df)
     before = Window.partitionBy("skey").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("skey", "g", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skipped"))
     ranked = keyed.join(groups, ["skey", "g"]).withColumn("r", F.row_number().over(Window.partitionBy("skey", "g").orderBy("h", "id")) - 1 + F.col("skipped"))
-    ranked = ranked.withColumn("b", F.floor(F.col("r") / block))
+    ranked = ranked.withColumn("b", F.expr(f"r div {block}"))
     # A block's number within its period is b modulo the source's share, which the schedule holds with every slot.
-    share = plan.where("j = 0").select("skey", F.col("ci").alias("share"))
-    ranked = ranked.join(small(share), "skey").withColumn("j", F.expr("b % share"))
-    placed = ranked.join(small(plan), ["skey", "j"]).withColumn("q", F.expr("b div ci"))
-    ahead = F.expr(f"aggregate(transform(ns, (n, i) -> least(n, {block} * (q * cs[i] + pre[i]))), 0L, (a, x) -> a + x)")
-    return placed.select("row.*", F.col("b").cast("long").alias(prefix + "block"), F.expr("q * p + slot").alias(prefix + "slot"), (ahead + F.expr(f"r % {block}")).alias(prefix + "position"))
+    ranked = ranked.join(small(plan.where("j = 0").select("skey", "share")), "skey").withColumn("j", F.expr("b % share")).drop("share")
+    placed = ranked.join(small(plan), ["skey", "j"]).withColumn("slot", F.expr("(b div share) * p + slot"))
+    # a slot has one block, which its first document stands for
+    starts = placed.where(f"r % {block} = 0").select("slot", F.expr(f"least(cast({block} AS long), n - r)").alias("size"))
+    placed = placed.join(_ahead(starts), "slot")
+    return placed.select("row.*", F.col("b").cast("long").alias(prefix + "block"), F.col("slot").cast("long").alias(prefix + "slot"), (F.col("ahead") + F.expr(f"r % {block}")).alias(prefix + "position"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
