@@ -8,8 +8,14 @@ uniting and intersecting postings; only those are verified with the regular
 expression.  A rule from which no mandatory trigram follows (such as a bare run
 of hex digits) scans every document.  Nothing is shuffled.
 
-Null texts count as empty.  Repeated rows each give a row.  Positions are code
-points, ends exclusive.
+The index of a segment holds the trigrams that some rule wants, and lives as long
+as its block is scanned: rules are known before documents are read, so there is no
+later query that a stored index could answer.
+
+Null texts count as empty, an empty table gives no rows.  Repeated rows and
+repeated or null ids each give a row.  Long texts are scanned whole, one text a
+block if need be.  Positions are code points, ends exclusive.  Only the columns
+named are read, so others may have any name; ``drop_secrets`` carries them along.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from re import _constants as sre
 from re import _parser as sre_parse
 
@@ -193,14 +200,20 @@ class Segment:
         return out
 
 
-def scan_texts(column: pa.Array, rules: tuple[Rule, ...]) -> Iterator[list[tuple[int, int, int]]]:
-    """For each row the spans (start, rule number, end), by start and then rule."""
+@lru_cache(maxsize=4)
+def _compiled(rules: tuple[Rule, ...]):
+    """For each rule its query and its regular expression, the wanted trigrams, and the number of each trigram; once for a worker."""
     queries = [trigram_query(r.pattern) for r in rules]
-    regexes = [re.compile(r.pattern) for r in rules]
     wanted = sorted(set().union(*(_needed(q) for q in queries)))
     number = np.zeros(1 << 24, np.uint16)
     for k, g in enumerate(wanted):
         number[g[0] << 16 | g[1] << 8 | g[2]] = k + 1
+    return queries, [re.compile(r.pattern) for r in rules], wanted, number
+
+
+def scan_texts(column: pa.Array, rules: tuple[Rule, ...]) -> Iterator[list[tuple[int, int, int]]]:
+    """For each row the spans (start, rule number, end), by start and then rule."""
+    queries, regexes, wanted, number = _compiled(rules)
     for lo, buf, offsets in blocks(column):
         segment = Segment(buf, offsets, number, wanted)
         found: list[list[tuple[int, int, int]]] = [[] for _ in range(segment.rows)]
@@ -274,3 +287,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return find_secrets(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def _sql() -> str:
+    """The spans of each rule from its matches and the pieces between them."""
+    rules = BASE_RULES + MORE_RULES
+    parts = []
+    for k, rule in enumerate(rules):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        size = f"length(regexp_extract(m[i], {pattern}, {rule.group}))"
+        parts.append(
+            f"""SELECT doc_id, {k} AS k, '{rule.name}' AS kind, a, a + n AS b FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'size': {size}}}), recursive := true)
+    FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, regexp_split_to_array(text, {pattern}) AS p FROM d) WHERE len(m) > 0) WHERE size >= {rule.least}"""
+        )
+    spans = "\n  UNION ALL ".join(parts)
+    base = ", ".join(f"'{r.name}'" for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in BASE_RULES)
+    told = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (
+  {spans}
+), t AS (
+  SELECT doc_id, {counts}, string_agg({told}, ',' ORDER BY a, k) FILTER (kind IN ({base})) AS base, string_agg({told}, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+SQL = _sql()
