@@ -3,17 +3,21 @@
 Vectors are cut into segments; a segment is summed up by its mean and its
 deviation.  For two vectors x, y the squared distance is at least
 ``sum m*((mean_x-mean_y)**2 + (dev_x-dev_y)**2)`` over the segments of m
-components, and as ``2*x*y = |x|^2 + |y|^2 - d^2``, a lower bound of the
-distance is an upper bound of the score.  Levels run from one segment to many;
-a candidate that a coarse level shuts out is not looked at again, and exact
-scores are computed for the survivors alone.
+distance is an upper bound of the score.  Levels run from one segment to segments of two components; a level
+is computed for the candidates that the coarser ones have left to some query of
+64, and exact scores for the pairs that are left at the end alone.
 
 Candidates are packed in blocks and dealt to shards of a bounded number of rows,
 queries to bounded groups; each shard meets each group in one task, which keeps
 a running top k whose k-th score is the bar for the blocks that follow.  The
-results of the shards are merged by a grouped top k.  Vectors that are null, or hold null or non-finite components,
-take no part; vectors of different lengths are not compared.  Ties go to the
-smaller id.  Repeated ids count as separate rows.
+results of the shards are merged by a grouped top k.
+
+Vectors that are null or empty, or hold null or non-finite components, take no
+part; vectors of different lengths are not compared.  Whole numbers of components
+are limited to +-2**62, and scores to what a long holds.  Ties go to the smaller
+id.  Rows without an id take no part; repeated ids count as separate rows.  Tables
+without rows give none.  Only the two columns named are read, so others may have
+any name.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from skein.llm._common import prepare, table, written
 ROWS = 4096
 GROUP = 4096
 SHARD = 1 << 16
-LEVELS = (1, 4, 16)
+FIRST = 256
 _PACK = "dim int, ids binary, data binary"
 
 
@@ -48,7 +52,7 @@ def _pack(rows: int):
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
                 x = np.asarray(v, np.float64)
                 items = kept.setdefault(len(x), [])
-                items.append((i, np.floor(x * 256)))
+                items.append((i, np.clip(np.floor(x * 256), -(2.0**62), 2.0**62)))
                 if len(items) >= rows:
                     yield blob(len(x), items)
                     kept[len(x)] = []
@@ -68,12 +72,23 @@ def _stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([total / np.sqrt(sizes), np.sqrt(np.maximum(square - total * total / sizes, 0))], axis=1)
 
 
+def _levels(dim: int) -> list[int]:
+    """Numbers of segments from one to half the components."""
+    out = [1]
+    while out[-1] * 4 < dim // 2:
+        out.append(out[-1] * 4)
+    return out if dim < 4 else [*out, dim // 2]
+
+
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; in doubles where no sum can leave the exact range."""
-    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[-1]
+    """Integer inner products of one vector with rows; in doubles where no sum can leave the exact range."""
+    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * len(q)
     if top < 1 << 53:
-        return np.rint(np.einsum("ij,ij->i", q.astype(np.float64), c.astype(np.float64))).astype(np.int64)
-    return np.einsum("ij,ij->i", q, c)
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if top < 1 << 63:
+        return c @ q
+    big = np.array([min(max(sum(x * y for x, y in zip(q.tolist(), row, strict=True)), -(2**63)), 2**63 - 1) for row in c.tolist()], object)
+    return big.astype(np.int64)
 
 
 def _best(who: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -90,57 +105,52 @@ class _Group:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
-        self.real = q.astype(np.float64)
-        self.levels = [_stats(self.real, s) for s in LEVELS]
+        self.cuts = _levels(q.shape[1])
+        self.levels = [_stats(q.astype(np.float64), s) for s in self.cuts]
         self.bar = np.full(len(ids), -np.inf)
+        self.met = 0  # candidates seen
+        self.counted = np.zeros(len(self.cuts) + 1, np.int64)  # pairs in all, and left after each level
         self.who, self.score, self.found = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
-        x = c.astype(np.float64)
-        stats = [_stats(x, s) for s in LEVELS]
-        narrow = float(np.abs(self.real).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**52
-        for lo in range(0, len(self.ids), 256):
-            rows = slice(lo, min(lo + 256, len(self.ids)))
-            bound = self.levels[0][rows] @ stats[0].T
-            # A first bar: the k-th exact score of the candidates that the finest level likes best.
-            fine = self.levels[-1][rows] @ stats[-1].T
-            if len(ids) > self.k and np.isneginf(self.bar[rows]).any():
-                top = np.argpartition(-fine, self.k, axis=1)[:, : self.k + 1]
-                who = np.repeat(np.arange(rows.start, rows.stop), self.k + 1)
-                score = _exact(self.q[who], c[top.ravel()]).astype(np.float64)
-                score[ids[top.ravel()] == self.ids[who]] = -np.inf
-                self.bar[rows] = np.maximum(self.bar[rows], np.sort(score.reshape(-1, self.k + 1), axis=1)[:, -self.k])
-            slack = 1e-9 * (np.abs(bound).max(initial=1) + 1) + 0.5
-            alive = bound + slack >= self.bar[rows, None]
-            for q, s in zip(self.levels[1:-1], stats[1:-1], strict=True):
-                a, b = np.nonzero(alive)
-                if len(a) * 8 < alive.size:
-                    alive[a, b] = np.einsum("ij,ij->i", q[rows][a], s[b]) + slack >= self.bar[rows][a]
-                else:
-                    alive &= q[rows] @ s.T + slack >= self.bar[rows, None]
-            alive &= fine + slack >= self.bar[rows, None]
-            if narrow and alive.sum() * 32 > alive.size:
-                # many survivors: their exact scores come from one product, whole numbers in doubles
-                alive &= self.real[rows] @ x.T >= self.bar[rows, None]
-            a, b = np.nonzero(alive)
-            self._take(a + lo, b, ids, c)
-
-    def _take(self, who: np.ndarray, at: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
-        for lo in range(0, len(who), 1 << 16):
-            w, a = who[lo : lo + (1 << 16)], at[lo : lo + (1 << 16)]
-            keep = ids[a] != self.ids[w]
-            w, a = w[keep], a[keep]
-            score = _exact(self.q[w], c[a])
-            good = score >= self.bar[w]
-            w = np.concatenate([self.who, w[good]])
-            found = np.concatenate([self.found, ids[a][good]])
-            score = np.concatenate([self.score, score[good]])
-            best = _best(w, score, found, self.k)
-            self.who, self.found, self.score = w[best], found[best], score[best]
-            count = np.bincount(self.who, minlength=len(self.ids))
-            last = np.full(len(self.ids), np.inf)
-            np.minimum.at(last, self.who, self.score)
-            self.bar = np.maximum(self.bar, np.where(count >= self.k, last, -np.inf))
+        if self.met < FIRST:  # nothing to compare with yet: the first candidates are met without bounds
+            self._take(np.ones((len(self.ids), min(FIRST, len(ids))), bool), 0, ids[:FIRST], c[:FIRST])
+            self.met += min(FIRST, len(ids))
+            ids, c = ids[FIRST:], c[FIRST:]
+        self.met += len(ids)
+        if not len(ids):
+            return
+        stats = [_stats(c.astype(np.float64), s) for s in self.cuts]
+        for lo in range(0, len(self.ids), 64):
+            rows = slice(lo, min(lo + 64, len(self.ids)))
+            alive = np.ones((rows.stop - lo, len(ids)), bool)
+            self.counted[0] += alive.size
+            for n, (q, s) in enumerate(zip(self.levels, stats, strict=True)):
+                # a level is computed for the candidates that some query of these still has
+                at = np.flatnonzero(alive.any(axis=0))
+                bound = q[rows] @ s[at].T
+                slack = 1e-9 * (np.abs(bound).max(initial=1) + 1) + 0.5
+                alive[:, at] &= bound + slack >= self.bar[rows, None]
+                self.counted[n + 1] += alive.sum()
+            self._take(alive, lo, ids, c)
+
+    def _take(self, alive: np.ndarray, lo: int, ids: np.ndarray, c: np.ndarray) -> None:
+        """Exact scores of the pairs that are left, of the queries from ``lo``."""
+        who, found, score = [self.who], [self.found], [self.score]
+        for i, row in enumerate(alive):
+            at = np.flatnonzero(row & (ids != self.ids[lo + i]))
+            exact = _exact(self.q[lo + i], c[at])
+            good = exact >= self.bar[lo + i]
+            who.append(np.full(int(good.sum()), lo + i))
+            found.append(ids[at[good]])
+            score.append(exact[good])
+        who, found, score = np.concatenate(who), np.concatenate(found), np.concatenate(score)
+        best = _best(who, score, found, self.k)
+        self.who, self.found, self.score = who[best], found[best], score[best]
+        count = np.bincount(self.who, minlength=len(self.ids))
+        last = np.full(len(self.ids), np.inf)
+        np.minimum.at(last, self.who, self.score)
+        self.bar = np.maximum(self.bar, np.where(count >= self.k, last, -np.inf))
 
     def rows(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[self.who]), pa.array(self.found), pa.array(self.score)], names=["query_id", "vec_id", "score"])
@@ -153,19 +163,19 @@ def _unpack(dim: int, ids, data) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(k: int):
-    """One running group at a time: rows come sorted by it."""
+    """One running group at a time: rows come sorted by it, and its queries first."""
 
     def run(batches):
-        now, group = None, None
+        group = None
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, g, r, q_ids, q_data, ids, data = (c[row] for c in batch.columns)
-                key = (dim.as_py(), g.as_py(), r.as_py())
-                if key != now:
+                dim, asks, ids, data = (batch.column(name)[row] for name in ("dim", "asks", "ids", "data"))
+                if asks.as_py():
                     if group is not None:
                         yield group.rows()
-                    now, group = key, _Group(*_unpack(key[0], q_ids, q_data), k)
-                group.add(*_unpack(key[0], ids, data))
+                    group = _Group(*_unpack(dim.as_py(), ids, data), k)
+                else:
+                    group.add(*_unpack(dim.as_py(), ids, data))
         if group is not None:
             yield group.rows()
 
@@ -185,12 +195,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
     shards = -(-candidates.count() // SHARD) or 1
     groups = -(-queries.count() // GROUP) or 1
     rows = usable(candidates).mapInArrow(_pack(ROWS), _PACK).select("dim", "ids", "data", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("r"))
-    asked = usable(queries).repartition(groups, "id").mapInArrow(_pack(GROUP), _PACK).select("dim", F.xxhash64("ids").alias("g"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    asked = written(asked, "queries")
-    # The stated queries against all rows, in blocks: each group is sent to each shard, and each block to each group.
-    asked = asked.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    plan = rows.join(asked.select("dim", "r", "g"), ["dim", "r"]).join(asked, ["dim", "r", "g"])
-    plan = plan.select("dim", "g", "r", "q_ids", "q_data", "ids", "data").sortWithinPartitions("dim", "g", "r")
+    asked = usable(queries).repartition(groups, "id").mapInArrow(_pack(GROUP), _PACK).select("dim", F.xxhash64("ids").alias("g"), "ids", "data")
+    # The stated queries against all rows, in blocks: each group is sent to each shard once, and each block to each group.
+    asked = written(asked, "queries").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    plan = rows.join(asked.select("dim", "r", "g"), ["dim", "r"]).select("dim", "g", "r", F.lit(False).alias("asks"), "ids", "data")
+    plan = plan.unionByName(asked.select("dim", "g", "r", F.lit(True).alias("asks"), "ids", "data"))
+    plan = plan.repartition("dim", "g", "r").sortWithinPartitions("dim", "g", "r", F.desc("asks"))
     found = plan.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
