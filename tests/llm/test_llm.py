@@ -325,13 +325,6 @@ def test_html_on_the_pages(spark):
         assert r["text"] == "\n".join(w for w in want if w) and r["n_chars"] == len(r["text"])
 
 
-def test_wrappers_align():
-    a, b = htmltext.stream("<div><p>x</p><p>y</p></div>"), htmltext.stream("<div><h2>t</h2><p>x</p></div>")
-    w = htmltext.align(a, b)
-    assert htmltext.slot_paths(w) == {"div/p", "div/h2"}
-    assert htmltext.align(w, a) == w
-
-
 # --- pipeline
 
 
