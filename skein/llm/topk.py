@@ -31,7 +31,7 @@ from skein.llm._common import prepare, table, written
 
 ROWS = 4096
 GROUP = 4096
-SHARD = 1 << 16
+SHARD = 1 << 14
 FIRST = 256
 _PACK = "dim int, ids binary, data binary"
 
