@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -23,9 +24,24 @@ def _ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def _run(f: Callable[[Index], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+_INDEXES: dict = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of a folder's vectors: where executors share ``spark.checkpoint.dir`` it is built and stored once in a session, else computed anew."""
     _ready(spark)
-    return f(Index(sources.read_vectors(spark, f"{sf_dir}/embeddings.parquet")))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    vectors = sources.read_vectors(spark, f"{sf_dir}/embeddings.parquet")
+    if not shared:
+        return Index(vectors)
+    key = (spark.sparkContext.applicationId, shared, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = Index(vectors, store=f"{shared}/skein-index/{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def _run(f: Callable[[Index], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f(index(spark, sf_dir))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,20 @@ def pivot_distances(vectors: DataFrame, centres: np.ndarray, ranges: list[tuple[
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, d array<long>")
 
 
+def measured(vectors: DataFrame, pivots: np.ndarray, parts: np.ndarray, ranges: list[tuple[int, int]]) -> DataFrame:
+    """(vec_id, v, d, s): in one pass the squared distances to the pivots, and the truncated distances to the parts over their ranges."""
+    dim = pivots.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1), dim)
+            d = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None, :]
+            s = np.floor(np.sqrt(np.stack([((x[:, a : a + n] - c[a : a + n]) ** 2).sum(1) for c, (a, n) in zip(parts, ranges, strict=True)], 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists(np.rint(y).astype(np.int64)) for y in (d, s))], names=["vec_id", "v", "d", "s"])
+
+    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<int>, d array<long>, s array<long>")
+
+
 def nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """(qid, vec_id, dist): each task's k nearest of every query, ties to the smaller id; to be merged by a grouped top k."""
     dim = queries.shape[1]

@@ -90,6 +90,14 @@ FINAL = {
     "ternarize": "SELECT vec_id, j, CASE WHEN x < m - sd * 0.5::DOUBLE THEN -127 WHEN x > m + sd * 0.5::DOUBLE THEN 127 ELSE 0 END AS x FROM e JOIN (SELECT j, a / n AS m, sqrt(b / n - (a / n) * (a / n)) AS sd FROM (SELECT j, CAST(sum(x) AS DOUBLE) AS a, CAST(sum(x * x) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY j)) USING (j)",
     "dist_l1": "SELECT qid, vec_id, l1 AS dist FROM a",
     "dist_l2sq": "SELECT qid, vec_id, dist FROM a",
+    "dist_l2_root": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum(CAST(q.x * q.x - e.x * e.x AS BIGINT) * (q.x * q.x - e.x * e.x)) AS BIGINT) AS dist {_PAIRS} GROUP BY ALL",
+    "proj_dist_folded": "SELECT qid, vec_id, d2 FROM d2",
+    "result_dist": "SELECT qid, 'secret, secret, ' || string_agg((vec_id + 1) || ', ' || dist, ',' ORDER BY rank) AS line FROM se GROUP BY qid",
+    "result_eval": "SELECT se.qid, any_value(x.vec_id || ',' || x.dist) || ',' || string_agg(se.vec_id || ', ' || se.dist, ',' ORDER BY se.rank) AS line FROM se JOIN ex x ON x.qid = se.qid AND x.rank = 1 GROUP BY se.qid",
+    "result_nearest": "SELECT qid, qid || ',' || vec_id || ',' || dist AS line FROM se WHERE rank = 1",
+    "check_enum_hamming": "SELECT qid, buckets, vectors FROM (SELECT qid, sketch, CAST(row_number() OVER w AS INTEGER) AS buckets, CAST(sum(n) OVER w AS BIGINT) AS vectors FROM pr WINDOW w AS (PARTITION BY qid ORDER BY ham, pt)) JOIN (SELECT qid, s.sketch FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM ex WHERE rank <= 2 AND vec_id <> qid) t JOIN s USING (vec_id) WHERE k = 1) g USING (qid, sketch)",
+    "enum_intervals": f"SELECT qid, min(pos) AS first, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY qid ORDER BY pos) AS run FROM (SELECT *, CASE WHEN lag(pos + n) OVER (PARTITION BY qid ORDER BY pos) = pos THEN 0 ELSE 1 END AS new FROM (SELECT x.qid, x.n, z.pos FROM ({_budget(C.nc1)}) x JOIN (SELECT sketch, CAST(sum(n) OVER (ORDER BY sketch) - n AS BIGINT) AS pos FROM b) z USING (sketch)))) GROUP BY qid, run",
+    "query_cost": f"SELECT qid, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS cost FROM ({_budget(C.nc1)}) GROUP BY qid",
     "dist_l2_part": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS} AND j BETWEEN 16 AND 31 GROUP BY q.vec_id, e.vec_id",
     "dist_l2_sparse": f"SELECT q.vec_id AS qid, e.vec_id, CAST(sum((q.x - e.x) * (q.x - e.x)) AS BIGINT) AS dist {_PAIRS} AND j % 7 = 0 GROUP BY q.vec_id, e.vec_id",
     "dist_pivot": "SELECT vec_id, p, d AS dist FROM d",
@@ -135,10 +143,10 @@ FINAL = {
     "filter_budget": f"SELECT qid, sketch, prio, n FROM ({_budget(C.nc1)})",
     "filter_block": f"SELECT qid, sketch, n FROM ({_budget(C.nc1, 'high')})",
     "cut_priority": f"SELECT qid, max(prio) AS prio FROM ({_budget(C.nc1)}) GROUP BY qid",
-    "enum_sketches": _listed("prio, sketch", f"(SELECT qid, z AS sketch, CAST(sum(CASE WHEN (xor(z, s.sketch) >> p) & 1 = 1 THEN bd ELSE 0 END) AS BIGINT) AS prio FROM ctx JOIN s ON s.vec_id = qid, range(0, {1 << _W}) t(z) GROUP BY qid, z)", 40, "qid, sketch, prio"),
+    "enum_sketches": _listed("prio, sketch", f"(SELECT qid, z AS sketch, CAST(sum(CASE WHEN (xor(z, s.sketch) >> p) & 1 = 1 THEN bd ELSE 0 END) AS BIGINT) AS prio FROM ctx JOIN s ON s.vec_id = qid, range(0, {1 << _W}) t(z) GROUP BY qid, z)", f"(SELECT CAST(floor({C.nc1} / (count(*) / {1 << _W}.0)) AS BIGINT) FROM s)", "qid, sketch, prio"),
     "enum_inf": _listed("g, vec_id"),
     "enum_inf_select": _listed("prio, vec_id", f"({_listed('g, vec_id', n=2 * C.nc1, columns='*')})").replace("SELECT *, row_number() OVER (PARTITION BY qid ORDER BY prio", "SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY qid ORDER BY prio"),
-    "enum_hamming_select": _listed("prio, sketch, vec_id", f"(SELECT h.*, s.vec_id FROM ({_listed('ham, pt', 'pr', 60, 'qid, sketch, prio')}) h JOIN s USING (sketch))"),
+    "enum_hamming_select": _listed("prio, sketch, vec_id", f"(SELECT h.*, s.vec_id FROM ({_listed('ham, pt', 'pr', f'(SELECT CAST(floor(2.0 * floor({C.nc1} / avg(n))) AS BIGINT) FROM b)', 'qid, sketch, prio')}) h JOIN s USING (sketch))"),
     "check_enum": "SELECT qid, buckets, vectors FROM (SELECT qid, sketch, CAST(row_number() OVER w AS INTEGER) AS buckets, CAST(sum(n) OVER w AS BIGINT) AS vectors FROM pr WINDOW w AS (PARTITION BY qid ORDER BY prio, sketch)) JOIN (SELECT qid, s.sketch FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM ex WHERE rank <= 2 AND vec_id <> qid) t JOIN s USING (vec_id) WHERE k = 1) g USING (qid, sketch)",
     "double_filter": _second(C.nc1, C.nc2),
     "alternating_filter": _second(C.nc1, C.nc2, "high"),
@@ -158,7 +166,7 @@ FINAL = {
     "candidate_miss": f"SELECT k.qid, k.vec_id FROM {_KNN} k JOIN s USING (vec_id) ANTI JOIN ({_budget(C.nc1)}) x ON x.qid = k.qid AND x.sketch = s.sketch",
     "latency_stats": f"SELECT round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS stdev, min(c) AS least, max(c) AS most FROM (SELECT CAST(sum(n) AS DOUBLE) AS c FROM ({_budget(C.nc1)}) GROUP BY qid)",
     "grid_eval": " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS trial, CAST({x} AS INTEGER) AS nc1, CAST({y} AS INTEGER) AS nc2, recall FROM ({_recall(C.k, _rerank(x, y))})" for t, x, y in _TRIALS),
-    "summary": f"SELECT CAST({_W} AS INTEGER) AS width, count(DISTINCT qid) AS queries, count(*) AS answers, CAST(sum(dist) AS BIGINT) AS dist FROM se",
+    "summary": f"SELECT CAST({_W} AS INTEGER) AS width, CAST({_B} AS INTEGER) AS q_bit, CAST({C.nc1} AS INTEGER) AS nc1, CAST({C.nc2} AS INTEGER) AS nc2, t.*, u.recall AS recall_1, v.recall AS recall_k, l.* FROM (SELECT count(DISTINCT qid) AS queries, count(*) AS answers, CAST(sum(dist) AS BIGINT) AS dist FROM se) t, ({_recall(1, 'SELECT * FROM se WHERE rank = 1')}) u, ({_recall(C.k, 'SELECT * FROM se')}) v, (SELECT round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS stdev, min(c) AS least, max(c) AS most FROM (SELECT CAST(sum(n) AS DOUBLE) AS c FROM ({_budget(C.nc1)}) GROUP BY qid)) l",
     "normalize_dist": f"SELECT qid, rank, round(sqrt(CAST(dist AS DOUBLE)) / {C.factor}::DOUBLE, 9) AS dist FROM se",
 }
 

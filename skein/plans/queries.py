@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein import functions as X
 from skein import sources
 from skein.operators.index import Index
+from skein.sources import files
 
 TRIALS = "60\n30\n\n100\n30\n\n0\n10\n\n200\n40\n\n-1\n0\n\n300\n50\n\n"
 QUERIES: dict = {}
@@ -28,28 +29,28 @@ def _pairs(x: Index) -> DataFrame:
 
 @query
 def scan_vectors(x):
-    return x.raw.select("vec_id", "label", F.size("embedding").alias("dim"))
+    return x.table.select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
 @query
 def slice_range(x):
-    return sources.slice_range(x.raw, 100, 50).select("vec_id", "label")
+    return sources.slice_range(x.table, 100, 50).select("vec_id", "label")
 
 
 @query
 def point_get(x):
-    return x.raw.where("vec_id = 7").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x0"))
+    return x.table.where("vec_id = 7").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x0"))
 
 
 @query
 def union_files(x):
-    parts = [x.raw.select("vec_id", "label")] * 2
+    parts = [x.table.select("vec_id", "label")] * 2
     return sources.union_files(parts, [0, 1_000_000]).select("gid", "label")
 
 
 @query
 def gather_by_id(x):
-    return sources.gather(x.raw, x.double_filter().select("vec_id")).select("vec_id", "label")
+    return sources.gather(x.table, x.double_filter().select("vec_id")).select("vec_id", "label")
 
 
 @query
@@ -68,6 +69,21 @@ def result_wide(x):
     return x.search().groupBy("qid").agg(F.array_join(F.transform(ids, lambda r: r["id"].cast("string")), ",").alias("ids"))
 
 
+@query
+def result_dist(x):
+    return files.result_lines(x.search(), "distances")
+
+
+@query
+def result_eval(x):
+    return files.result_lines(x.search(), "evaluated", x.exact(1))
+
+
+@query
+def result_nearest(x):
+    return files.result_lines(x.search(), "nearest")
+
+
 # --- scalar kernels
 
 
@@ -111,6 +127,12 @@ def dist_l2sq(x):
     return _pairs(x).select("qid", "vec_id", X.l2sq(F.col("qv"), F.col("v")).alias("dist"))
 
 
+@query
+def dist_l2_root(x):
+    """Elements are taken as roots: their squares are compared."""
+    return _pairs(x).select("qid", "vec_id", X.l2sq(X.squared(F.col("qv")), X.squared(F.col("v"))).alias("dist"))
+
+
 @query
 def dist_l2_part(x):
     return _pairs(x).select("qid", "vec_id", X.l2sq_part(F.col("qv"), F.col("v"), 16, 16).alias("dist"))
@@ -228,7 +250,7 @@ def dist_table(x):
 
 
 def _projected(x):
-    q = x.projections.where(F.col("vec_id") < x.config.nq).select(F.col("vec_id").alias("qid"), F.col("s").alias("qs"))
+    q = x._asked(x.projections).select(F.col("vec_id").alias("qid"), F.col("s").alias("qs"))
     return x.projections.join(F.broadcast(q), F.lit(True))
 
 
@@ -271,6 +293,15 @@ def proj_dist_packed(x):
     return rows.select("qid", "vec_id", F.expr("aggregate(transform(c, (k, p) -> t[p][k]), 0L, (a, y) -> a + y)").alias("d2"))
 
 
+@query
+def proj_dist_folded(x):
+    """The same distance by one look-up for each byte of packed codes."""
+    widths = [x.config.bits] * x.config.parts
+    rows = x.codes.select("vec_id", X.pack_mixed("c", widths).alias("b"))
+    rows = rows.join(F.broadcast(x.tables.select("qid", X.folded("t", widths).alias("f"))), F.lit(True))
+    return rows.select("qid", "vec_id", X.folded_distance("b", "f").alias("d2"))
+
+
 @query
 def proj_dist_inf(x):
     rows = x.codes.join(F.broadcast(x.tables), F.lit(True))
@@ -305,13 +336,19 @@ def bucket_counts(x):
 
 @query
 def bucket_csr(x):
-    return x.buckets.select("sketch", "n", (F.sum("n").over(Window.orderBy("sketch")) - F.col("n")).alias("pos"))
+    """Sums of ranges of sketches first, then within each range."""
+    high = max(0, x.config.w - 10)
+    rows = x.buckets.withColumn("part", F.shiftright("sketch", high))  # at most 1024 ranges
+    sums = rows.groupBy("part").agg(F.sum("n").alias("m"))
+    sums = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("sketch")) - F.col("n")
+    return rows.withColumn("here", within).join(F.broadcast(sums), "part").select("sketch", "n", (F.col("before") + F.col("here")).alias("pos"))
 
 
 def _positions(x):
     """Position of each id in sketch order: the bucket's start and the rank within it."""
     rank = F.row_number().over(Window.partitionBy("sketch").orderBy("vec_id")) - 1
-    return x.sketches.withColumn("r", rank).join(F.broadcast(bucket_csr(x)), "sketch").select("vec_id", "sketch", (F.col("pos") + F.col("r")).alias("pos"))
+    return x.sketches.withColumn("r", rank).join(bucket_csr(x), "sketch").select("vec_id", "sketch", (F.col("pos") + F.col("r")).alias("pos"))
 
 
 @query
@@ -393,12 +430,25 @@ def cut_priority(x):
     return filter_budget(x).groupBy("qid").agg(F.max("prio").alias("prio"))
 
 
+#: Patterns of a query that one row can hold.
+LISTED = 1 << 20
+
+
 @query
 def enum_sketches(x):
-    w = x.config.w
-    every = x.raw.sparkSession.range(1 << w).select(F.col("id").alias("sketch"))
-    rows = every.join(F.broadcast(x.context()), F.lit(True)).withColumn("m", F.expr("sketch ^ qs")).withColumn("prio", X.bits("m", "bd", w))
-    return x.first(rows, 40, "prio", "sketch").select("qid", "sketch", "prio")
+    """The sketches of least priority, whether or not vectors have them: as many as hold nc1 vectors if all 2^w are equally full.
+
+    The best m of the patterns of some bits, each with and without one bit more, hold the best m of those of one bit more;
+    so no more than 2m patterns of a query are ever there, whatever the width.
+    """
+    w, n = x.config.w, x.sketches.count()
+    m = int(x.config.nc1 / (n / 2**w)) if n else 0
+    m = max(1, min(m, 2**w))
+    if m > LISTED:
+        raise ValueError("more sketches than can be listed; enum_priority visits those that vectors have")
+    step = f"(a, p) -> slice(array_sort(concat(a, transform(a, y -> struct(y.prio + cast(bd[p] AS long) AS prio, y.sketch ^ shiftleft(1L, p) AS sketch)))), 1, {m})"
+    best = f"aggregate(sequence(0, {w - 1}), array(struct(0L AS prio, qs AS sketch)), {step})"
+    return x.context().select("qid", F.explode(F.expr(best)).alias("y")).select("qid", "y.sketch", "y.prio")
 
 
 @query
@@ -414,9 +464,15 @@ def enum_inf_select(x):
     return x.first(over, x.config.nc1, "prio", "vec_id").select("qid", "vec_id")
 
 
+FACTOR = 2.0
+
+
 @query
 def enum_hamming_select(x):
-    over = x.first(x.priorities, 60, "ham", "pt").drop("rank").join(x.sketches, "sketch")
+    """In Hamming order FACTOR times as many buckets as hold nc1 vectors on average; of these nc1 ids in the order of priority."""
+    mean = x.buckets.agg(F.avg("n")).first()[0]
+    buckets = int(int(x.config.nc1 / mean) * FACTOR) if mean else 0
+    over = x.first(x.priorities, buckets, "ham", "pt").drop("rank").join(x.sketches, "sketch")
     return x.first(over, x.config.nc1, "prio", "sketch", "vec_id").select("qid", "vec_id")
 
 
@@ -430,6 +486,24 @@ def check_enum(x):
     return rows.join(F.broadcast(truth), "qid").where("sketch = goal").select("qid", "buckets", "vectors")
 
 
+@query
+def check_enum_hamming(x):
+    """The same in Hamming order."""
+    truth = x.first(x.exact(2).where("vec_id <> qid").drop("rank"), 1, "dist", "vec_id").select("qid", "vec_id").join(x.sketches, "vec_id").select("qid", F.col("sketch").alias("goal"))
+    by = Window.partitionBy("qid").orderBy("ham", "pt")
+    rows = x.priorities.select("qid", "sketch", F.row_number().over(by).alias("buckets"), F.sum("n").over(by).alias("vectors"))
+    return rows.join(F.broadcast(truth), "qid").where("sketch = goal").select("qid", "buckets", "vectors")
+
+
+@query
+def enum_intervals(x):
+    """The buckets that reach nc1 as runs of positions in sketch order."""
+    rows = filter_budget(x).select("qid", "sketch").join(bucket_csr(x), "sketch")
+    by = Window.partitionBy("qid").orderBy("pos")
+    rows = rows.withColumn("new", F.when(F.lag(F.expr("pos + n")).over(by) == F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    return rows.groupBy("qid", "run").agg(F.min("pos").alias("first"), F.sum("n").alias("n")).select("qid", "first", "n")
+
+
 # --- second filter, rerank, top k
 
 
@@ -486,8 +560,10 @@ def select_k_ties(x):
 
 @query
 def threshold_k(x):
-    rows = x.members.select("qid", "prio", F.rank().over(Window.partitionBy("qid").orderBy("prio")).alias("r"))
-    return rows.where("r > 50").groupBy("qid").agg(F.min("prio").alias("bound"))
+    """The least priority of which fewer than all lie among the first 50, from the counts of buckets."""
+    levels = x.priorities.groupBy("qid", "prio").agg(F.sum("n").alias("m"))
+    rows = levels.withColumn("before", F.sum("m").over(Window.partitionBy("qid").orderBy("prio")) - F.col("m"))
+    return rows.where("before >= 50").groupBy("qid").agg(F.min("prio").alias("bound"))
 
 
 @query
@@ -557,8 +633,18 @@ def grid_eval(x):
 
 @query
 def summary(x):
-    found = x.search()
-    return found.agg(F.lit(x.config.w).alias("width"), F.countDistinct("qid").alias("queries"), F.count("*").alias("answers"), F.sum("dist").alias("dist"))
+    """One line on a search: its parameters, its recall of the nearest and of k, and its cost in candidates (which does not depend on the machine)."""
+    found, c = x.search(), x.config
+    sums = found.agg(F.countDistinct("qid").alias("queries"), F.count("*").alias("answers"), F.sum("dist").alias("dist"))
+    recalls = [_recall(x, rows, k).withColumnRenamed("recall", name) for name, rows, k in (("recall_1", found.where("rank = 1"), 1), ("recall_k", found, c.k))]
+    out = sums.join(recalls[0], F.lit(True)).join(recalls[1], F.lit(True)).join(latency_stats(x), F.lit(True))  # a row each
+    return out.select(*(F.lit(v).alias(n) for n, v in (("width", c.w), ("q_bit", c.bits), ("nc1", c.nc1), ("nc2", c.nc2))), "*")
+
+
+@query
+def query_cost(x):
+    """The cost of each query, in candidates of the first filter and in buckets."""
+    return enum_c2n(x).select("qid", "buckets", F.col("vectors").alias("cost"))
 
 
 @query

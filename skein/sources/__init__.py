@@ -1,4 +1,4 @@
-"""Reading vectors and trials, writing results."""
+"""Reading vectors and trials; files in ``skein.sources.files``."""
 
 from __future__ import annotations
 
@@ -43,13 +43,3 @@ def parse_trials(text: str) -> list[tuple[int, int, int]]:
                 out.append((len(out), pair[0], pair[1]))
         pair = []
     return out
-
-
-def write_results(rows: DataFrame, path: str) -> None:
-    """CSV; never over an existing result."""
-    rows.write.mode("errorifexists").option("header", "false").csv(path)
-
-
-def write_index(sketches: DataFrame, path: str) -> None:
-    """Clustered by sketch, so that row groups of other buckets are skipped."""
-    sketches.repartitionByRange("sketch").sortWithinPartitions("sketch", "vec_id").write.parquet(path)

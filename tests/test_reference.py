@@ -11,10 +11,32 @@ from skein.plans.queries import QUERIES, TRIALS
 
 @pytest.fixture(scope="module")
 def index(spark):
+    return catalog.index(spark, DATA)
+
+
+@pytest.fixture(scope="module")
+def unstored(spark):
     catalog._ready(spark)
     return Index(spark.read.parquet(f"{DATA}/embeddings.parquet"))
 
 
+@pytest.mark.parametrize("name", ["rerank_knn", "filter_budget", "build_qsmap", "bucket_csr", "query_ctx", "smap", "exact_knn"])
+def test_an_index_that_is_not_stored_gives_the_same(index, unstored, name):
+    assert index.store and not unstored.store
+    same(QUERIES[name](unstored).toPandas(), QUERIES[name](index).toPandas())
+
+
+@pytest.mark.parametrize("nc1", [37, 250, 400])
+def test_hamming_selection_gives_as_many_as_asked(spark, index, nc1):
+    """FACTOR times the mean number of buckets holds nc1 vectors and more, or what the buckets in question hold."""
+    x = Index(index.table, SearchConfig(nc1=nc1))
+    mean = x.buckets.agg({"n": "avg"}).first()[0]
+    over = x.first(x.priorities, int(int(nc1 / mean) * 2.0), "ham", "pt").groupBy("qid").agg({"n": "sum"})
+    held = {r["qid"]: r["sum(n)"] for r in over.collect()}
+    got = {r["qid"]: r["count"] for r in QUERIES["enum_hamming_select"](x).groupBy("qid").count().collect()}
+    assert got == {q: min(nc1, n) for q, n in held.items()}
+
+
 def test_every_query_has_an_oracle():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
