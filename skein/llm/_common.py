@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -23,10 +24,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("skein.local.dir", None)
+        if not d and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not d:
             d = "file://" + tempfile.mkdtemp(prefix="skein-")
             spark.conf.set("skein.local.dir", d)
