@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), and its result is written and read again
 as the next one's docs.  All but the last return the columns of documents.
+
+Every stage takes an empty table and gives one.  Null and empty texts are scored as
+no text, are near-duplicates of nothing, hold no benchmark passage and no secret, and
+count in mixing like all others.  Rows without an id are judged by the classifier, the
+secret scan and mixing; the near-duplicates and the decontamination, which name
+documents by id, let them stay.  Rows that repeat an id stay or go together there.
+Long texts are read whole.  Further columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, mixing, neardup, quality, secrets
-from skein.llm._common import table, written
+from skein.llm._common import table, unused, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id."""
-    extra = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
+    name = unused(docs, "extra")
+    extra = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(extra, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
