@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm._bytes import BYTE, blocks, gram_hashes, longs, sliding_min, span_hashes, words
@@ -86,9 +86,16 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc_id long")
 
 
-def write_run(anchored: DataFrame, spark: SparkSession, ordered: bool = True) -> str:
-    """An immutable run: a table in buckets of h, one file each, ``ordered`` by h.  Runs join each other without a shuffle."""
-    name, n = f"skein_run_{uuid.uuid4().hex}", partitions(spark)
+def buckets(docs: DataFrame, each: int = 1 << 26) -> int:
+    """Buckets for the anchors of ``docs``: as many as shuffle partitions, more where the texts have over ``each`` bytes for one."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(spark), min(size // each, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))))
+
+
+def write_run(anchored: DataFrame, spark: SparkSession, n: int, ordered: bool = True) -> str:
+    """An immutable run: a table in ``n`` buckets of h, one file each, ``ordered`` by h.  Runs join each other without a shuffle."""
+    name = f"skein_run_{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         rows = anchored.repartition(n, "h").write.bucketBy(n, "h")
         (rows.sortBy("h", "doc_id") if ordered else rows).saveAsTable(name)
@@ -107,10 +114,10 @@ def runs_in_order(spark: SparkSession):
         spark.conf.set(key, old)
 
 
-def with_anchors(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """(doc_id, text, hs): the documents that have rows (doc_id, h) in ``found``, with these; a written table."""
-    lists = found.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    return written(docs.join(lists, "doc_id").select("doc_id", "text", "hs"), name, "zstd")
+def with_anchors(docs: DataFrame, found: DataFrame, name: str, *more: Column) -> DataFrame:
+    """(doc_id, text, hs, and aggregates ``more``): the documents that have rows (doc_id, h) in ``found``, with these; a written table."""
+    lists = found.groupBy("doc_id").agg(F.collect_list("h").alias("hs"), *more)
+    return written(docs.join(lists, "doc_id").select("doc_id", "text", *lists.columns[1:]), name, "zstd")
 
 
 def candidate_windows(batch: pa.RecordBatch, unit: Unit):

@@ -1,18 +1,20 @@
 """Substring dedup with a log-structured fingerprint index (operator 4).
 
-The index holds sorted immutable runs of fingerprints of earlier documents, one
-run for each batch.  Fingerprints are the anchors of 13-word windows (see
+The index holds sorted immutable runs of fingerprints of earlier documents, at
+first one run for each batch.  Fingerprints are the anchors of 13-word windows (see
 ``_windows``), a fifth as many as windows, and without loss: equal windows have
 equal anchors.  A new batch's run is merge-joined with the earlier runs and with
 itself; as runs are bucketed and sorted by fingerprint this needs no shuffle.
 Where an anchor is met again, all windows that it names are verified: their
-128-bit fingerprints are compared between the batch and the documents that were
-met.  Runs are merged into one when there are more than ``FANOUT``.
+128-bit fingerprints, of two independent hashes of its words, are compared between
+the batch and the documents that were met.  When a level holds ``FANOUT`` runs they
+become one run of the next level, so a row is rewritten once a level.
 
 A window counts as seen if an earlier batch has it, or a document of the same
 batch with a smaller id.  Rows without an id have no place in this order and are
 left out.  A null text has no words.  Rows that repeat an id are one document:
-none of them precedes another.
+none of them precedes another.  An empty table gives one, texts of any length are read
+whole, and further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._bytes import gram_hashes, longs
-from skein.llm._common import id_text, prepare, table, written
-from skein.llm._windows import Unit, anchors, candidate_windows, runs_in_order, windows, with_anchors, write_run
+from skein.llm._bytes import gram_hashes, longs, span_hashes, words
+from skein.llm._common import id_text, prepare, removed, table, written
+from skein.llm._windows import Unit, anchors, buckets, candidate_windows, runs_in_order, windows, with_anchors, write_run
 
 WORDS = Unit(words=True, size=13, gram=5)
 FANOUT = 4
@@ -38,13 +40,19 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, unit: Unit = WORDS):
         self.spark, self.unit = prepare(spark), unit
-        self.runs: list[str] = []
+        self.levels: list[list[str]] = [[]]
+        self.buckets = 0
         self.docs: list[DataFrame] = []
 
+    @property
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
     def add(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row of the batch."""
         docs = id_text(docs).where(F.col("doc_id").isNotNull())
-        run = write_run(anchors(docs, self.unit), self.spark)
+        self.buckets = self.buckets or buckets(docs)
+        run = write_run(anchors(docs, self.unit), self.spark, self.buckets)
         new = self.spark.table(run)
         met = new.groupBy("h").agg((F.min("doc_id") < F.max("doc_id")).alias("again"))
         for i, old in enumerate(self.runs):
@@ -55,7 +63,7 @@ class FingerprintIndex:
         met = met.where(again).select("h")
         with runs_in_order(self.spark):
             mine = with_anchors(docs, new.join(met, "h").select("doc_id", "h"), "batch-candidates")
-        prints = self._prints(mine, False)
+        prints, used = self._prints(mine, False), [mine]
         if self.runs:
             theirs = [self.spark.table(old).join(met, "h").select("doc_id", "h") for old in self.runs]
             found = theirs[0]
@@ -67,32 +75,42 @@ class FingerprintIndex:
             with runs_in_order(self.spark):
                 theirs = with_anchors(history, found, "history-candidates")
             prints = prints.unionByName(self._prints(theirs, True))
+            used.append(theirs)
         seen = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("f1", "f2", "first")
         seen = written(seen, "seen")
         flagged = self._prints(mine, False).join(seen, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("f1").alias("prints"))
         flagged = written(flagged, "flagged")
-        self.runs.append(run)
+        removed(seen, *used)
+        self.levels[0].append(run)
         self.docs.append(docs)
-        if len(self.runs) > FANOUT:
-            self.compact()
+        self.compact()
         return docs.join(flagged, "doc_id", "left").select("doc_id", "text", "prints").mapInArrow(self._keep(), "doc_id long, n_words long, n_removed long, kept binary")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) < 2:
-            return
-        rows = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        merged = write_run(rows, self.spark)
-        self.close()
-        self.runs = [merged]
+        """Merge the runs of each full level into one of the next."""
+        level = 0
+        while level < len(self.levels):
+            full = self.levels[level]
+            if len(full) >= FANOUT:
+                rows = self.spark.table(full[0])
+                for name in full[1:]:
+                    rows = rows.unionByName(self.spark.table(name))
+                merged = write_run(rows, self.spark, self.buckets)
+                self._drop(full)
+                self.levels[level] = []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(merged)
+            level += 1
 
     def close(self) -> None:
         """Remove the runs."""
-        for name in self.runs:
+        self._drop(self.runs)
+        self.levels = [[]]
+
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
 
     def _prints(self, found: DataFrame, earlier: bool) -> DataFrame:
         unit = self.unit
@@ -103,7 +121,9 @@ class FingerprintIndex:
                 for b, hit in candidate_windows(batch, unit):
                     at = b.at[b.spread(hit)]
                     row = np.searchsorted(b.cuts, at, side="right") - 1
-                    f1, f2 = (gram_hashes(b.symbols, unit.size, seed)[at] for seed in (0, 1))
+                    starts, ends, _ = words(b.buf, b.offsets)
+                    f1 = gram_hashes(b.symbols, unit.size)[at]
+                    f2 = gram_hashes(span_hashes(255 - b.buf, starts, ends), unit.size, 1)[at]
                     who = np.full(len(at), EARLIER) if earlier else ids[b.first + row]
                     yield pa.RecordBatch.from_arrays([pa.array(longs(f1)), pa.array(longs(f2)), pa.array(who, pa.int64())], names=["f1", "f2", "doc_id"])
 

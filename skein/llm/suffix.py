@@ -3,30 +3,36 @@
 Bytes covered by a 50-byte string that also starts in an earlier document are
 removed.  Only strings whose anchor (see ``_windows``) two documents have can
 repeat; neighbouring strings of one anchor form a segment, and equal segments
-are one.  Segments are dealt out by anchor, so equal strings meet.  Each task
-sorts the suffixes of its segments, some megabytes of whole anchors at a time:
+are one.  Segments are dealt out by anchor, so equal strings meet; those of an
+anchor with many documents are cut further, and dealt out, by a second anchor.
+Equal segments become one in each task before they are dealt out, and again after.
+Each task sorts the suffixes of its segments, some megabytes of whole anchors at a time:
 suffixes at positions that are no multiple of three are sorted by their triples,
 named, and sorted by recursion on the names; the others follow from one byte and
 the rank of their successor, and both lists are merged.  Neighbours in the suffix
 array with 50 equal bytes are one string, whose first document is the least.
 
 Rows without an id have no place in the order and are left out.  A null text is
-empty.  Rows that repeat an id are one document: none precedes another.
+empty.  Rows that repeat an id are one document: none precedes another.  An empty
+table gives one, texts of any length are read whole, and further columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._bytes import blocks, list_array, longs, span_hashes
-from skein.llm._common import id_text, partitions, prepare, table, written
-from skein.llm._windows import Unit, anchors, candidate_windows, with_anchors, write_run
+from skein.llm._bytes import U64, blocks, gram_hashes, list_array, longs, mix, sliding_min, span_hashes
+from skein.llm._common import id_text, prepare, removed, table, written
+from skein.llm._windows import Block, Unit, anchors, buckets, candidate_windows, with_anchors, write_run
 
 BYTES = Unit(words=False, size=50, gram=20)
 PIECE = 1 << 18
+PILE = 1 << 16  # documents of an anchor for each part that its segments are dealt into
+HELD = 1 << 25  # bytes of segments in which a task looks for equal ones before they are dealt out
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -120,37 +126,76 @@ def _keys(buf: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[pa.Array, pa.A
     return pa.array(longs(span_hashes(buf, a, z))), pa.array(longs(span_hashes(255 - buf, a, z)))
 
 
+def _stretches(b: Block, hit: np.ndarray, frequent: pa.Array, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window, row and key of each segment; ``frequent`` has (h, parts) of anchors that are dealt into parts."""
+    first, last = b.runs[hit], np.append(b.runs[1:], len(b.at))[hit] - 1
+    row, key = b.run_row[hit], b.run_anchor[hit]
+    items = frequent.slice(b.first, len(b.offsets) - 1).flatten()
+    if not len(items):
+        return first, last, row, key
+    hs, at = np.unique(pc.struct_field(items, "h").to_numpy(zero_copy_only=False).view(U64), return_index=True)
+    parts = pc.struct_field(items, "parts").to_numpy(zero_copy_only=False)[at]
+    at = np.minimum(np.searchsorted(hs, key), len(hs) - 1)
+    parts = np.where(hs[at] == key, parts[at], 1).astype(U64)
+    second = sliding_min(gram_hashes(b.symbols, unit.gram, 1), unit.size - unit.gram + 1)
+    length = last - first + 1
+    owner = np.repeat(np.arange(len(first)), length)
+    window = np.arange(len(owner)) + np.repeat(first - (np.cumsum(length) - length), length)
+    part = second[b.at[window]] % parts[owner]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+    cut = np.flatnonzero(new)
+    owner, part = owner[cut], part[cut]
+    return window[cut], window[np.append(cut[1:], len(window)) - 1], row[owner], np.where(part > 0, mix(key[owner] + part), key[owner])
+
+
+def _combined(pieces):
+    """Rows (h, doc_id, segment) to (h, segment, first, last), with equal segments of some megabytes as one."""
+    held, size = [], 0
+
+    def flush():
+        rows = pa.Table.from_batches(held).group_by(["h", "segment"]).aggregate([("doc_id", "min"), ("doc_id", "max")])
+        return rows.select(["h", "segment", "doc_id_min", "doc_id_max"]).rename_columns(["h", "segment", "first", "last"]).combine_chunks().to_batches()
+
+    for piece in pieces:
+        held.append(piece)
+        size += piece.nbytes
+        if size > HELD:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def _segments(unit: Unit, place: bool):
-    """(doc_id, text, hs) to segments: (h, doc_id, segment), or (k1, k2, doc_id, start)."""
+    """(doc_id, text, hs, frequent) to segments: (h, segment, first, last), or (k1, k2, doc_id, start)."""
 
-    def run(batches):
+    def each(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for b, hit in candidate_windows(batch, unit):
                 if not hit.any():
                     continue
-                row = b.run_row[hit]
+                first, last, row, key = _stretches(b, hit, batch.column(3), unit)
                 who = pa.array(ids[b.first + row], pa.int64())
-                a = b.at[b.runs[hit]]
-                z = b.at[np.append(b.runs[1:], len(b.at))[hit] - 1] + unit.size
+                a, z = b.at[first], b.at[last] + unit.size
                 if place:
                     yield pa.RecordBatch.from_arrays([*_keys(b.buf, a, z), who, pa.array(a - b.offsets[row])], names=["k1", "k2", "doc_id", "start"])
                 else:
                     raw = b.buf.tobytes()
                     pieces = [raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(longs(b.run_anchor[hit])), who, pa.array(pieces, pa.binary())], names=["h", "doc_id", "segment"])
+                    yield pa.RecordBatch.from_arrays([pa.array(longs(key)), who, pa.array(pieces, pa.binary())], names=["h", "doc_id", "segment"])
 
-    return run
+    return each if place else lambda batches: _combined(each(batches))
 
 
 def _sorted_strings(size: int):
     """Rows (h, segment, first, last) sorted by h to rows (k1, k2, runs): stretches of strings whose first document is earlier than ``last``."""
 
     def solve(rows: pa.Table):
-        rows = rows.combine_chunks()
-        _, off, data = rows["segment"].chunk(0).buffers()
-        base = rows["segment"].chunk(0).offset
-        off = np.frombuffer(off, np.int32)[base : base + rows.num_rows + 1].astype(np.int64)
+        segments = pa.concat_arrays(rows["segment"].cast(pa.large_binary()).chunks)
+        _, off, data = segments.buffers()
+        off = np.frombuffer(off, np.int64)[segments.offset : segments.offset + rows.num_rows + 1]
         lengths = np.diff(off)
         starts = off[:-1] - off[0] + np.arange(len(lengths))
         joined = np.zeros(int(lengths.sum()) + len(lengths), np.uint8)
@@ -220,23 +265,26 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup_suffixes(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, unit: Unit = BYTES, pile: int = PILE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row."""
     spark = prepare(docs.sparkSession)
     docs = id_text(docs).where(F.col("doc_id").isNotNull())
-    run = write_run(anchors(docs, unit), spark, ordered=False)
+    n = buckets(docs)
+    run = write_run(anchors(docs, unit), spark, n, ordered=False)
     rows = spark.table(run)
-    met = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
-    found = with_anchors(docs, rows.join(met.hint("shuffle_hash"), "h").select("doc_id", "h"), "suffix-candidates")
+    met = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.count("*") / pile).cast("long").alias("parts")).where("x < y")
+    frequent = F.collect_list(F.when(F.col("parts") > 0, F.struct("h", (F.col("parts") + 1).alias("parts")))).alias("frequent")
+    found = with_anchors(docs, rows.join(met.hint("merge"), "h").select("doc_id", "h", "parts"), "suffix-candidates", frequent)
     spark.sql(f"DROP TABLE IF EXISTS {run}")
     # dealt out by h first, so that grouping by (h, segment) needs no shuffle of its own
-    dealt = found.mapInArrow(_segments(unit, False), "h long, doc_id long, segment binary").repartition(partitions(spark), "h")
-    alike = dealt.groupBy("h", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).sortWithinPartitions("h")
+    dealt = found.mapInArrow(_segments(unit, False), "h long, segment binary, first long, last long").repartition(n, "h")
+    alike = dealt.groupBy("h", "segment").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("h")
     strings = written(alike.mapInArrow(_sorted_strings(unit.size), "k1 long, k2 long, runs array<struct<a:long,b:long,first:long>>"), "strings")
     places = found.mapInArrow(_segments(unit, True), "k1 long, k2 long, doc_id long, start long")
-    spans = places.join(strings.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "start", F.explode("runs").alias("x")).where("doc_id > x.first")
+    spans = places.join(strings.hint("merge"), ["k1", "k2"]).select("doc_id", "start", F.explode("runs").alias("x")).where("doc_id > x.first")
     spans = spans.select("doc_id", (F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b") + (unit.size - 1)).alias("b"))
     spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    removed(found, strings)
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA, oracle, same
@@ -111,6 +112,46 @@ def test_suffix_array_is_sorted():
         assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: tuple(s[i:].tolist()))
 
 
+def test_suffixes_of_frequent_anchors_are_dealt_out(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(9)
+    core = "all of these documents hold this very common line of text, and nobody knows why it is here: "
+    texts = [core * int(rng.integers(1, 3)) + " ".join(rng.choice(["ab", "cd", "ef"], 20)) for _ in range(80)] + [core[:70], "é" * 60, None, core * 40]
+    pq.write_table(documents(texts), tmp_path / "documents.parquet")
+    want = oracle(suffix.SQL, str(tmp_path))
+    assert want.n_removed.sum() > 0
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for pile, held in ((1 << 16, 1 << 25), (3, 1 << 25), (1, 1)):
+        monkeypatch.setattr(suffix, "HELD", held)
+        got = suffix.dedup_suffixes(docs, pile=pile)
+        same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).toPandas(), want)
+
+
+def test_equal_segments_become_one_before_they_are_dealt_out():
+    piece = pa.RecordBatch.from_arrays([pa.array([5, 5, 5, 7]), pa.array([3, 1, 2, 9]), pa.array([b"x", b"x", b"y", b"x"])], names=["h", "doc_id", "segment"])
+    got = sorted(tuple(r.values()) for b in suffix._combined([piece] * 9) for r in b.to_pylist())
+    assert got == [(5, b"x", 1, 3), (5, b"y", 2, 2), (7, b"x", 9, 9)]
+
+
+def test_segments_beyond_32_bit_offsets_are_read_whole():
+    rows = pa.table({"h": pa.array([1, 1], pa.int64()), "segment": pa.chunked_array([[b"q" * 60], [b"r" + b"q" * 55]], pa.binary()), "first": pa.array([4, 6], pa.int64()), "last": pa.array([5, 6], pa.int64())})
+    got = [r for b in suffix._sorted_strings(50)(rows.to_batches()) for r in b.to_pylist()]
+    assert [r["runs"] for r in got] == [[{"a": 0, "b": 11, "first": 4}], [{"a": 1, "b": 7, "first": 4}]]
+
+
+def test_index_levels(spark, monkeypatch):
+    monkeypatch.setattr(substring, "FANOUT", 2)
+    rng = np.random.default_rng(4)
+    pool = [" ".join(rng.choice([f"w{i}" for i in range(30)], 25)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(pool, 3))) for i in range(40)], "doc_id long, text string")
+    index, rows = substring.FingerprintIndex(spark), []
+    for i in range(5):
+        rows += index.add(docs.where(f"doc_id >= {8 * i} and doc_id < {8 * i + 8}")).collect()
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    index.close()
+    want = substring.dedup_substrings(docs, 1).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want))
+
+
 def test_index_in_batches_equals_one(spark):
     rng = np.random.default_rng(2)
     pool = [" ".join(rng.choice([f"w{i}" for i in range(30)], 25)) for _ in range(12)]
