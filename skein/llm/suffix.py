@@ -108,10 +108,10 @@ def first_documents(joined: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     whole = (starts + lengths)[owner] - np.arange(len(joined)) >= size
     sa = sa[whole[sa]]
     padded = np.concatenate([joined, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(joined), 8), (1, 1))
+    words = np.ndarray(len(joined), np.uint64, padded, strides=(1,)).copy()  # the eight bytes from each place on
     equal = np.ones(max(0, len(sa) - 1), bool)
     for lo in (*range(0, size - 7, 8), size - 8):
-        word = np.ascontiguousarray(words[sa + lo]).view(np.uint64)[:, 0]
+        word = words[sa + lo]
         equal &= word[1:] == word[:-1]
     least = np.empty(len(joined), np.int64)
     if len(sa):
@@ -193,13 +193,16 @@ def _sorted_strings(size: int):
     """Rows (h, segment, first, last) sorted by h to rows (k1, k2, runs): stretches of strings whose first document is earlier than ``last``."""
 
     def solve(rows: pa.Table):
-        segments = pa.concat_arrays(rows["segment"].cast(pa.large_binary()).chunks)
-        _, off, data = segments.buffers()
-        off = np.frombuffer(off, np.int64)[segments.offset : segments.offset + rows.num_rows + 1]
-        lengths = np.diff(off)
-        starts = off[:-1] - off[0] + np.arange(len(lengths))
-        joined = np.zeros(int(lengths.sum()) + len(lengths), np.uint8)
-        joined[np.arange(off[-1] - off[0]) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+        lengths, raw = [], []
+        for chunk in rows["segment"].chunks:
+            _, off, data = chunk.buffers()
+            off = np.frombuffer(off, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            lengths.append(np.diff(off).astype(np.int64))
+            raw.append(np.frombuffer(data, np.uint8)[off[0] : off[-1]])
+        lengths, raw = np.concatenate(lengths), np.concatenate(raw)
+        starts = np.cumsum(lengths + 1) - (lengths + 1)
+        joined = np.zeros(len(raw) + len(lengths), np.uint8)
+        joined[np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)] = raw
         firsts, lasts = rows["first"].to_numpy(), rows["last"].to_numpy()
         at, least = first_documents(joined, starts, lengths, firsts, size)
         owner = np.searchsorted(starts, at, side="right") - 1
@@ -272,9 +275,10 @@ def dedup_suffixes(docs: DataFrame, unit: Unit = BYTES, pile: int = PILE) -> Dat
     n = buckets(docs)
     run = write_run(anchors(docs, unit), spark, n, ordered=False)
     rows = spark.table(run)
+    # distinct anchors spread evenly, so a bucket's share of them is bounded like its texts (see ``buckets``): a map holds it
     met = rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.count("*") / pile).cast("long").alias("parts")).where("x < y")
     frequent = F.collect_list(F.when(F.col("parts") > 0, F.struct("h", (F.col("parts") + 1).alias("parts")))).alias("frequent")
-    found = with_anchors(docs, rows.join(met.hint("merge"), "h").select("doc_id", "h", "parts"), "suffix-candidates", frequent)
+    found = with_anchors(docs, rows.join(met.hint("shuffle_hash"), "h").select("doc_id", "h", "parts"), "suffix-candidates", frequent)
     spark.sql(f"DROP TABLE IF EXISTS {run}")
     # dealt out by h first, so that grouping by (h, segment) needs no shuffle of its own
     dealt = found.mapInArrow(_segments(unit, False), "h long, segment binary, first long, last long").repartition(n, "h")
